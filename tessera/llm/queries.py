@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixing, near, quality, tokens
+from tessera.llm import language, mixing, near, private, quality, tokens
 from tessera.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.personal_data(documents(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
@@ -34,4 +38,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_pii, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op10_quality_rules)}
