@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, lines, mixing, near, private, quality, tokens
+from tessera.llm import language, leaks, lines, mixing, near, private, quality, tokens
 from tessera.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.personal_data(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(documents(spark, sf_dir))
 
@@ -42,4 +46,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_pii, op4_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_decontamination, op4_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op10_quality_rules)}
