@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, leaks, lines, mixing, near, private, quality, tokens
+from tessera.llm import language, leaks, licenses, lines, mixing, near, passages, private, quality, tokens
 from tessera.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,9 +41,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY, keep=["doc_id"])
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "quality.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_decontamination, op4_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_pii, op3_decontamination, op4_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_token_counts, op8_substring_dedup, op9_license_scans, op10_quality_rules)}
