@@ -72,6 +72,17 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def roughly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -> DataFrame:
+    """Rows of ``df`` whose ``column`` falls into a hash bucket of some value in ``ids`` (one
+    column): all that match and few others, before a join that shuffles wide rows.
+
+    What is broadcast is a set of at most 2**bits numbers, whatever the data's size.
+    """
+    bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    taken = ids.select(bucket(F.col(ids.columns[0])).alias("bucket_")).distinct()
+    return df.join(F.broadcast(taken), bucket(df[column]) == F.col("bucket_"), "left_semi")
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 #: Text bytes that a Python worker handles at once.

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, materialise, spaced
+from tessera.llm.common import free_name, materialise, roughly_in, spaced
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,8 @@ def one_word_apart(first: DataFrame, docs: DataFrame) -> DataFrame:
     halves = first.where("a is not null").select("l1", "l2", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     some = halves.join(shared, "half", "left_semi").select("l1", "l2").distinct()
-    place = first.join(some, ["l1", "l2"]).select("l1", "l2", "at", F.col("at.doc_id").alias("p_id"), F.col("at.rk").alias("p_rk"), "at.no")
-    whole = _keyed(docs).select(F.col("doc_id"), "rk", F.split("text", "\n").alias("lines")).dropDuplicates(["doc_id", "rk"])
+    place = materialise(first.join(some, ["l1", "l2"]).select("l1", "l2", "at", F.col("at.doc_id").alias("p_id"), F.col("at.rk").alias("p_rk"), "at.no"), "places")
+    whole = roughly_in(_keyed(docs), "rk", place.select("p_rk")).select(F.col("doc_id"), "rk", F.split("text", "\n").alias("lines")).dropDuplicates(["doc_id", "rk"])
     found = place.join(whole, (F.col("p_rk") == F.col("rk")) & F.col("p_id").eqNullSafe(F.col("doc_id")))
     texts = materialise(found.select("l1", "l2", "at", _words(F.element_at("lines", F.col("no") + 1)).alias("w")), "lines")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes
+from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes, roughly_in
 from tessera.llm.components import connected_components
 
 
@@ -97,7 +97,7 @@ def paragraphs(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
 def _shingles(places: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
     """(fp, set): the shingle hashes of one paragraph of each class of ``places`` (fp, doc_id, pos)."""
     asked = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp")).alias("asked"))
-    both = docs.select("doc_id", "text").join(asked, "doc_id")
+    both = roughly_in(docs.select("doc_id", "text"), "doc_id", places.select("doc_id")).join(asked, "doc_id")
 
     def run(batches):
         hashes = WordHashes()
