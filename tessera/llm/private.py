@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, materialise, word_array
+from tessera.llm.common import LOWER, UPPER, free_name, materialise, word_array
 
 #: Kinds in order and what matches.
 KINDS = ("email", "ip", "card", "phone")
@@ -138,7 +138,8 @@ def _around(text: Column, spans: Column, how: Disclosure) -> Column:
 
 
 def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its ``keep`` columns) with arrays ``base`` and ``terms`` of spans."""
+    """``docs`` (its ``keep`` columns) with, as its last two columns, arrays ``base`` and
+    ``terms`` of spans (with underscores in front where a column has that name)."""
     kept = docs.columns if keep is None else keep
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)), text.alias("text_"))
@@ -158,13 +159,14 @@ def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None
     telling = known.where(pmi >= -how.ratio * F.log2(F.col("n_e") / F.col("t"))).select("term", "entity")
     found = seen.join(telling, ["term", "entity"]).select("row", F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
     out = rows.join(found, "row", "left")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "base", F.coalesce(F.array_sort(F.col("terms").cast(SPAN)), F.array().cast(SPAN)).alias("terms"))
+    terms = F.coalesce(F.array_sort(F.col("terms").cast(SPAN)), F.array().cast(SPAN))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.col("base").alias(free_name(kept, "base")), terms.alias(free_name(kept, "terms")))
 
 
 def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with base spans replaced by ``[kind]`` and disclosing terms by ``[term]``."""
     found = find(docs, how)
-    spans = F.array_sort(F.concat("base", "terms"))
+    spans = F.array_sort(F.concat(*found.columns[-2:]))
     step = lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
         F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(s["out"]).alias("out"))
