@@ -80,7 +80,7 @@ def roughly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -> Da
     """
     bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     taken = ids.select(bucket(F.col(ids.columns[0])).alias("bucket_")).distinct()
-    return df.join(F.broadcast(taken), bucket(df[column]) == F.col("bucket_"), "left_semi")
+    return df.join(F.broadcast(taken), bucket(df[column]) == taken["bucket_"], "left_semi")
 
 
 # ---------------------------------------------------------------- Arrow batches

@@ -130,10 +130,10 @@ def line_report(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
 def dedup_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """``docs`` without the lines that go; documents that had words and lose them all go too."""
     kept = kept_lines(docs.select("doc_id", "text"), how)
-    rk, stay, new = (free_name(docs.columns, x) for x in ("rk_", "stay_", "new_"))
+    rk, stay, new, k_id, k_rk = (free_name(docs.columns, x) for x in ("rk", "stay", "new", "k_id", "k_rk"))
     keyed = docs.withColumn(rk, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    other = kept.toDF("k_id_", "k_rk_", stay)
-    both = keyed.join(other, (F.col(rk) == F.col("k_rk_")) & keyed["doc_id"].eqNullSafe(F.col("k_id_")), "left")
+    other = kept.toDF(k_id, k_rk, stay)
+    both = keyed.join(other, (F.col(rk) == F.col(k_rk)) & keyed["doc_id"].eqNullSafe(F.col(k_id)), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     lines = F.filter(numbered, lambda s: (_n_words(s["x"]) < how.least) | F.coalesce(F.array_contains(F.col(stay), s["i"]), F.lit(False)))
     both = both.withColumn(new, F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
