@@ -7,7 +7,8 @@
 * Texts with equal sets are one class, so copies cost one row in all that follows.
 * Classes that agree in a band meet under its key.  Each key's members are compared with
   the member that shares most keys with others (a star, not all pairs).  Where a key still
-  joins several components, members of different components are compared pair by pair.
+  joins several components, members of different components are compared pair by pair,
+  unless the shingles that each has alone rule the link out.
   Four bit planes of the signature leave out pairs whose estimate is more than six
   standard deviations under the threshold; all others are confirmed on full sets.
 * Components come from alternating stars; copies take their class's component.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, discard, materialise, mix, ngram_hashes, per_text
+from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in
 from tessera.llm.components import connected_components
 
 
@@ -140,11 +141,33 @@ def alike(near: Near):
     return sizes & (F.bit_count(differ) <= near.slots - near.agree)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids`` (doc_id)."""
+    return roughly_in(docs.select("doc_id", "text"), "doc_id", ids).join(ids, "doc_id", "left_semi")
+
+
+def own_shingles(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """(rep, own): how many shingles of each document in ``ids`` no other of them has."""
+    texts = texts_of(docs, ids)
+
+    def run(batches):
+        hashes = WordHashes()
+        for part, texts in chunks(batches, "text"):
+            sets = shingle_sets(texts, hashes, near.words)
+            of = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(of), pa.array(flat.view(np.int64))], names=["rep", "shingle"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    each = texts.mapInArrow(run, f"rep {id_type}, shingle long")
+    single = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) of ids whose texts' full sets are similar enough."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = texts.join(wanted, "doc_id", "left_semi")
+    texts = materialise(texts_of(docs, wanted), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
@@ -173,10 +196,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, near: Near, apart=None) -> DataFrame:
     """Distinct pairs of different members under one key that look alike."""
-    cols = ("rep", "n", "p1", "p2", "p3", "p4")
+    cols = ("rep", "n", "p1", "p2", "p3", "p4", *(["shared"] if apart else []))
     x = left.select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in cols), *([F.col(apart).alias("x_part")] if apart else []))
     y = right.select(F.col("key").alias("y_key"), *(F.col(c).alias(f"y_{c}") for c in cols), *([F.col(apart).alias("y_part")] if apart else []))
-    on = (F.col("x_key") == F.col("y_key")) & alike(near) & ((F.col("x_part") < F.col("y_part")) if apart else (F.col("x_rep") != F.col("y_rep")))
+    most = F.least("x_shared", "y_shared")
+    on = (F.col("x_key") == F.col("y_key")) & alike(near) & ((F.col("x_part") < F.col("y_part")) & (100 * most >= near.percent * (F.col("x_n") + F.col("y_n") - most)) if apart else (F.col("x_rep") != F.col("y_rep")))
     return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -201,7 +225,11 @@ def links(sig: DataFrame, docs: DataFrame, near: Near = NEAR) -> tuple[DataFrame
     # What the stars left apart: members of different components under one key.
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(placed.join(open_keys, "key"), "open")
+    rest = placed.join(open_keys, "key")
+    # Shingles that no other open member has are in no intersection: what is left bounds the
+    # similarity of a pair exactly, and keeps apart copies that each have edits of their own.
+    own = own_shingles(docs, rest.select(F.col("rep").alias("doc_id")).distinct(), near)
+    rest = materialise(rest.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))), "open")
     second = materialise(_pairs(rest, rest, near, "part").join(first, ["a", "b"], "left_anti"), "pairs")
     more = confirm(second, docs, near)
     all_links = materialise(good.unionByName(more), "links")
