@@ -62,7 +62,7 @@ def leading_int(c: Column) -> Column:
 def cleanup(c: Column) -> Column:
     """Line breaks and runs of spaces to one space, all quotes to double ones, a space after commas."""
     c = F.regexp_replace(F.regexp_replace(c, "[\\n\\r]", " "), " +", " ")
-    for old, new in (("''", '"'), ("'", '"'), ('""', '"'), (" ", ""), (",", ", ")):
+    for old, new in (("''", '"'), ("'", '"'), ('""', '"'), ("\u00a0", ""), (",", ", ")):
         c = F.replace(c, F.lit(old), F.lit(new))
     return c
 

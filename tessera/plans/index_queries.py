@@ -14,7 +14,7 @@ PUNCTUATION_SQL = T.PUNCTUATION.replace("'", "''")
 
 
 def words_sql(text: str) -> str:
-    return f"list_filter(list_transform(regexp_split_to_array(translate({text}, '{T.LOWER}', '{T.UPPER}'), '{T.DELIMITERS}'), w -> trim(w, '{PUNCTUATION_SQL}')), w -> w <> '')"
+    return f"list_filter(list_transform(regexp_split_to_array(translate({text}, '{T.LOWER}', '{T.UPPER}'), '{T.DELIMITERS}'), lambda w: trim(w, '{PUNCTUATION_SQL}')), lambda w: w <> '')"
 
 
 def postings_sql(source: str = "SELECT doc_id AS file_id, text FROM documents") -> str:

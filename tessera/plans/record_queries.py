@@ -21,7 +21,7 @@ def capitalise_shorten(spark, sf):
 
 def _cleanup_sql(c):
     out = rf"regexp_replace(regexp_replace({c}, '[\n\r]', ' ', 'g'), ' +', ' ', 'g')"
-    for old, new in (("''", '"'), ("'", '"'), ('""', '"'), (" ", ""), (",", ", ")):
+    for old, new in (("''", '"'), ("'", '"'), ('""', '"'), ("\u00a0", ""), (",", ", ")):
         out = "replace({}, '{}', '{}')".format(out, old.replace("'", "''"), new)
     return out
 
