@@ -49,18 +49,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(added.select("path", (F.col("last") + F.col("n")).alias("file_id"), F.lit("added").alias("change")))
 
 
-def number_rows(df: DataFrame, order: list[str], buckets: int = 256) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], buckets: int = 32) -> DataFrame:
     """``df`` with n = 1, 2, ... in the given order (of columns without equal rows).
 
-    Ranges of the order are numbered each in its own task, after the sizes of the ranges
-    before it, so no task sorts the whole table.
+    Some of the rows' own keys, picked by hash, bound the ranges of the order; each range is
+    numbered in its own task, after the sizes of the ranges before it.  The bounds are
+    constants of the plan, so every evaluation deals the rows alike.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    some = df.select(*order).orderBy(F.xxhash64(*order)).limit(buckets - 1).orderBy(*order).collect()  # fewer than ``buckets`` rows
+    bounds = F.array(*(F.struct(*(F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order)) for r in some))
+    part = F.size(F.filter(bounds, lambda b: b <= F.struct(*order))) if some else F.lit(0)
+    ranged = df.withColumn("part", part)
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
     starts = sizes.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    return ranged.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("inside")).drop("part", "inside", "start")
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("inside")).drop("part", "inside", "start")
 
 
 def apply_refresh(postings: DataFrame, diff: DataFrame, docs: DataFrame) -> DataFrame:
