@@ -7,8 +7,8 @@
 * Texts with equal sets are one class, so copies cost one row in all that follows.
 * Classes that agree in a band meet under its key.  Each key's members are compared with
   the member that shares most keys with others (a star, not all pairs).  Where a key still
-  joins several components, members of different components are compared pair by pair,
-  unless the shingles that each has alone rule the link out.
+  joins several components, members of different components meet once more in an exact
+  prefix join over their shingles, rarest first.
   Four bit planes of the signature leave out pairs whose estimate is more than six
   standard deviations under the threshold; all others are confirmed on full sets.
 * Components come from alternating stars; copies take their class's component.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in
@@ -146,8 +146,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return roughly_in(docs.select("doc_id", "text"), "doc_id", ids).join(ids, "doc_id", "left_semi")
 
 
-def own_shingles(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
-    """(rep, own): how many shingles of each document in ``ids`` no other of them has."""
+def shingles_of(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """(rep, shingle): the sets of the documents in ``ids`` (doc_id)."""
     texts = texts_of(docs, ids)
 
     def run(batches):
@@ -159,9 +159,30 @@ def own_shingles(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(of), pa.array(flat.view(np.int64))], names=["rep", "shingle"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    each = texts.mapInArrow(run, f"rep {id_type}, shingle long")
-    single = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return texts.mapInArrow(run, f"rep {id_type}, shingle long")
+
+
+def open_pairs(members: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """(a, b): pairs of ``members`` (rep, n, p1..p4, part) of different parts that may be links.
+
+    Sets are ordered by how few members have a shingle.  A similar pair shares a shingle
+    near the head of both orders, and what stands behind the first shared one bounds their
+    intersection; so copies that each have edits of their own do not meet.  Shingles that
+    only members of one part have near the head join nothing.
+    """
+    each = materialise(shingles_of(docs, members.select(F.col("rep").alias("doc_id")).distinct(), near), "shingles")
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle")) - 1
+    head = each.join(held, "shingle").withColumn("i", place).join(members, "rep").where("held > 1").where(100 * (F.col("n") - F.col("i")) >= near.percent * F.col("n"))
+    head = materialise(head, "heads")
+    across = head.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle")
+    head = head.join(across, "shingle")
+    cols = ("shingle", "rep", "n", "i", "part", "p1", "p2", "p3", "p4")
+    x, y = (head.select(*(F.col(c).alias(f"{side}_{c}") for c in cols)) for side in "xy")
+    behind = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
+    enough = 100 * behind >= near.percent * (F.col("x_n") + F.col("y_n") - behind)
+    on = (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_part") < F.col("y_part")) & enough & alike(near)
+    return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
@@ -194,13 +215,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, near: Near, apart=None) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, near: Near) -> DataFrame:
     """Distinct pairs of different members under one key that look alike."""
-    cols = ("rep", "n", "p1", "p2", "p3", "p4", *(["shared"] if apart else []))
-    x = left.select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in cols), *([F.col(apart).alias("x_part")] if apart else []))
-    y = right.select(F.col("key").alias("y_key"), *(F.col(c).alias(f"y_{c}") for c in cols), *([F.col(apart).alias("y_part")] if apart else []))
-    most = F.least("x_shared", "y_shared")
-    on = (F.col("x_key") == F.col("y_key")) & alike(near) & ((F.col("x_part") < F.col("y_part")) & (100 * most >= near.percent * (F.col("x_n") + F.col("y_n") - most)) if apart else (F.col("x_rep") != F.col("y_rep")))
+    cols = ("key", "rep", "n", "p1", "p2", "p3", "p4")
+    x, y = left.select(*(F.col(c).alias(f"x_{c}") for c in cols)), right.select(*(F.col(c).alias(f"y_{c}") for c in cols))
+    on = (F.col("x_key") == F.col("y_key")) & (F.col("x_rep") != F.col("y_rep")) & alike(near)
     return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -225,12 +244,8 @@ def links(sig: DataFrame, docs: DataFrame, near: Near = NEAR) -> tuple[DataFrame
     # What the stars left apart: members of different components under one key.
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key")
-    # Shingles that no other open member has are in no intersection: what is left bounds the
-    # similarity of a pair exactly, and keeps apart copies that each have edits of their own.
-    own = own_shingles(docs, rest.select(F.col("rep").alias("doc_id")).distinct(), near)
-    rest = materialise(rest.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))), "open")
-    second = materialise(_pairs(rest, rest, near, "part").join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = materialise(placed.join(open_keys, "key").select("rep", "n", "p1", "p2", "p3", "p4", "part").distinct(), "open")
+    second = materialise(open_pairs(rest, docs, near).join(first, ["a", "b"], "left_anti"), "pairs")
     more = confirm(second, docs, near)
     all_links = materialise(good.unionByName(more), "links")
     comp = connected_components(all_links)
