@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, materialise, roughly_in, spaced
+from tessera.llm.common import SPACE, free_name, materialise, roughly_in, spaced
 
 
 @dataclass(frozen=True)
@@ -42,12 +42,11 @@ class Lines:
 
 
 def _words(line: Column) -> Column:
-    return F.split(spaced(line), " ")
+    return F.filter(F.split(line, SPACE), lambda w: w != "")
 
 
 def _n_words(line: Column) -> Column:
-    one = spaced(line)
-    return F.when(one == "", 0).otherwise(F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1)
+    return F.size(_words(line))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -64,8 +63,10 @@ def _halves(w: Column, n: Column) -> list[Column]:
 
 def first_lines(docs: DataFrame, how: Lines) -> DataFrame:
     """Each distinct line once (l1, l2, n, halves a..d), at its earliest place ``at``."""
-    lines = _keyed(docs).select("doc_id", "rk", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    lines = lines.withColumn("w", _words(F.col("line"))).withColumn("n", F.size("w")).where(F.col("n") >= how.least)
+    # Words are cut inside the generator, so that each line is cut once.
+    each = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _words)
+    lines = _keyed(docs).select("doc_id", "rk", F.posexplode(each).alias("no", "w"))
+    lines = lines.withColumn("n", F.size("w")).where(F.col("n") >= how.least)
     fuzzy = F.col("n") >= how.fuzzy
     halves = [F.when(fuzzy, h).alias(x) for x, h in zip("abcd", _halves(F.col("w"), F.col("n")), strict=True)]
     at = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk", "no").alias("at")
@@ -94,8 +95,11 @@ def one_word_apart(first: DataFrame, docs: DataFrame) -> DataFrame:
     without = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: key(j, F.col("n") - 1, j + 1))
     cut = F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: key(j, F.col("n"), j))
     keys = chains.select("l1", "l2", "at", F.explode(F.concat(without, cut)).alias("k")).select("l1", "l2", "at", "k.*")
-    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("at", "l1", "l2")).alias("lead")).where("met > 1")
-    pairs = keys.join(lead.select("key", "lead.l1", "lead.l2").toDF("key", "e1", "e2"), "key").where("l1 <> e1 or l2 <> e2").select("l1", "l2", "e1", "e2", "j", "m").distinct()
+    # Most keys have one line: their number alone is counted first, and only lines of keys that meet go on.
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("key")
+    keys = materialise(keys.join(met, "key"), "keys")
+    lead = keys.groupBy("key").agg(F.min(F.struct("at", "l1", "l2")).alias("lead")).select("key", "lead.l1", "lead.l2").toDF("key", "e1", "e2")
+    pairs = keys.join(lead, "key").where("l1 <> e1 or l2 <> e2").select("l1", "l2", "e1", "e2", "j", "m").distinct()
 
     rest = lambda w: F.when(F.size(w) > F.col("m"), F.concat(F.slice(w, F.lit(1), F.col("j")), F.slice(w, F.col("j") + 2, F.size(w)))).otherwise(F.col(w))
     other = texts.select(F.col("l1").alias("e1"), F.col("l2").alias("e2"), F.col("w").alias("v"))
