@@ -54,10 +54,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs a re-read and no recomputation."""
+    so a lost executor costs a re-read and no recomputation.  Shuffle files of the finished
+    write are of no more use; a collection of the driver's garbage lets Spark delete them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

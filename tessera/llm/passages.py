@@ -138,9 +138,15 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     ``removed`` are those of paragraphs that occur earlier, ``first_docs`` where these do."""
     windows = materialise(paragraphs(docs, how), "paragraphs")
     comp = connected_components(similar_classes(windows, docs, how))
-    placed = windows.select("doc_id", "pos", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "pos", F.coalesce("component", "fp").alias("unit"))
-    units = placed.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    hits = placed.join(materialise(units.select("unit", F.col("lo").alias("first_doc")), "units"), "unit")
+    # Most classes stand once in the corpus: only those that repeat or resemble others go on.
+    places = windows.select("doc_id", "pos", "fp")
+    again = places.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp")
+    asked = again.unionByName(comp.select(F.col("node").alias("fp"))).distinct()
+    unit = asked.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("unit"))
+    placed = materialise(places.join(unit, "fp").select("doc_id", "pos", "unit"), "places")
+    discard(windows)
+    units = placed.groupBy("unit").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("first_doc <> hi").select("unit", "first_doc")
+    hits = placed.join(units, "unit")
     stays = F.col("doc_id") == F.col("first_doc")
     per = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", stays.alias("stays")))).alias("at"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
 
