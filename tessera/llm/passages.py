@@ -7,10 +7,14 @@ wherever they stand, and each run of length + stretch - 1 words holds a whole pa
 32 and 20, every passage of over 50 words that occurs twice shows the same paragraph twice.
 
 * Paragraphs of equal words are one class, by a fingerprint of all their words.
-* Paragraphs whose MinHash agrees in a band meet under its key (two bands of two slots:
-  high recall, since a passage holds several paragraphs).  Each key's classes are compared
-  with its least one, not with each other, and pairs are verified by the exact Jaccard
-  similarity of their five-word shingles.
+* Two sets of shingles that are similar enough share one of the first few in any order (the
+  prefix, see ``heads``).  Each paragraph carries its least five-word shingles by hash, and
+  classes that share one meet under it; shingles that only overlapping neighbours of one
+  text share join nothing.
+* Each key's classes are compared with its most frequent one (a star, not all pairs) by the
+  exact Jaccard similarity of their shingles.  Classes that stay in different components
+  under one key meet again in an exact prefix join over their shingles, rarest first, so no
+  link between components is lost.
 * Components of classes are the units of removal: of a component found in two documents or
   more the paragraphs of the first document stay, all others can go.
 
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes, roughly_in
@@ -43,7 +47,9 @@ class Passages:
     percent: int = 80
 
 
-SALTS = (0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x7F4A7C159E3779B9, 0x2545F4914F6CDD1D)
+def heads(n: int, percent: int) -> int:
+    """How many of ``n`` shingles, first in a fixed order, hold one of each similar enough set's first ones."""
+    return n - -(-percent * n // 100) + 1
 
 
 def anchors(h: np.ndarray, how: Passages) -> np.ndarray:
@@ -59,13 +65,15 @@ def anchors(h: np.ndarray, how: Passages) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """(doc_id, pos, fp, k1, k2): each paragraph's place, fingerprint and band keys."""
+    """(doc_id, pos, fp, keys): each paragraph's place, fingerprint and least shingles."""
 
     def run(batches):
         hashes = WordHashes()
+        width = how.length - how.words + 1
+        most = max(heads(n, how.percent) for n in range(1, width + 1))
         offsets = [*range(0, how.length - how.words, how.words), how.length - how.words]
         for part, texts in chunks(batches, "text", 1 << 20):
-            which, places, prints, bands = [], [], [], []
+            which, places, prints, keys = [], [], [], []
             for i, raw in enumerate(texts):
                 h = hashes.of(raw.lower().split())
                 a = anchors(h, how)
@@ -75,23 +83,22 @@ def paragraphs(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
                 fp = np.zeros(len(a), np.uint64)
                 for o in offsets:
                     fp = mix(fp + s[a + o])
-                ends = np.empty(2 * len(a), np.int64)
-                ends[::2], ends[1::2] = a, a + (how.length - how.words + 1)
-                low = []
-                for salt in SALTS:
-                    m = np.append(mix(s ^ np.uint64(salt)), np.uint64(0xFFFFFFFFFFFFFFFF))
-                    low.append(np.minimum.reduceat(m, ends)[::2])
+                low = np.sort(np.lib.stride_tricks.sliding_window_view(s, width)[a], axis=1)
+                for r in np.flatnonzero((low[:, 1:] == low[:, :-1]).any(axis=1)):  # shingles that repeat count once
+                    own = np.unique(low[r])
+                    low[r, :most] = own[np.minimum(np.arange(most), heads(len(own), how.percent) - 1)]
                 which.append(np.full(len(a), i))
                 places.append(a)
                 prints.append(fp)
-                bands.append((mix(mix(low[0]) + low[1]), mix(mix(low[2]) ^ low[3])))
+                keys.append(low[:, :most])
             if which:
                 doc_id = part.column(part.schema.get_field_index("doc_id")).take(pa.array(np.concatenate(which)))
-                cols = [np.concatenate(prints), np.concatenate([b[0] for b in bands]), np.concatenate([b[1] for b in bands])]
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.concatenate(places).astype(np.int32)), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", "pos", "fp", "k1", "k2"])
+                fp, low = np.concatenate(prints), np.concatenate(keys)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, most, dtype=np.int32)), pa.array(low.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.concatenate(places).astype(np.int32)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "pos", "fp", "keys"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, pos int, fp long, k1 long, k2 long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, pos int, fp long, keys array<long>")
 
 
 def _shingles(places: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
@@ -113,22 +120,70 @@ def _shingles(places: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
     return both.select("text", "asked").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"])
 
 
-def similar_classes(windows: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
-    """(a, b): verified links between classes of different words."""
-    keys = windows.select(F.explode(F.array("k1", "k2")).alias("key"), "fp")
-    lead = materialise(keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").select("key", "lead"), "leads")
-    pairs = materialise(keys.join(lead, "key").where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    places = windows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "pos")).alias("p"))
-    places = materialise(places.select("fp", "p.*"), "places")
-    sets = materialise(_shingles(places, docs, how), "sets")
-    sides = [sets.join(places, "fp").select(F.col("fp").alias(n), F.col("set").alias(s), F.col("doc_id").alias(f"{n}_doc"), F.col("pos").alias(f"{n}_pos")) for n, s in (("a", "x"), ("b", "y"))]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    # Neighbours in one text overlap; that is no repetition.
-    both = both.where(~((F.col("a_doc") == F.col("b_doc")) & (F.abs(F.col("a_pos") - F.col("b_pos")) < how.length)))
+def _apart(x: str, y: str, how: Passages):
+    """Whether two classes (columns x_doc, x_pos.. of their first places) are no neighbours in one text: those overlap, which is no repetition."""
+    return ~((F.col(f"{x}_doc") == F.col(f"{y}_doc")) & (F.abs(F.col(f"{x}_pos") - F.col(f"{y}_pos")) < how.length))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, how: Passages) -> DataFrame:
+    """The pairs (a, b) of classes that are no neighbours and whose shingles are similar enough."""
+    sides = [sets.select(F.col("fp").alias(n), F.col("set").alias(s), F.col("doc_id").alias(f"{n}_doc"), F.col("pos").alias(f"{n}_pos")) for n, s in (("a", "x"), ("b", "y"))]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(_apart("a", "b", how))
     common = F.size(F.array_intersect("x", "y"))
-    links = materialise(both.where(100 * common >= how.percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    discard(lead, pairs, places, sets)
+    return both.where(100 * common >= how.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _open_pairs(members: DataFrame, how: Passages) -> DataFrame:
+    """(a, b): pairs of ``members`` (fp, set, doc_id, pos, part) of different parts that may be links.
+
+    Sets are ordered by how few members have a shingle, so paragraphs that each have edits of
+    their own do not meet; what stands behind a shared shingle bounds the intersection.
+    """
+    each = members.select("fp", "part", "doc_id", "pos", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("held", "shingle")) - 1
+    head = each.join(held, "shingle").withColumn("i", place).where("lo <> hi").where(100 * (F.col("n") - F.col("i")) >= how.percent * F.col("n"))
+    head = materialise(head.select("shingle", "fp", "part", "doc_id", "pos", "n", "i"), "heads")
+    names = {"fp": "fp", "part": "part", "doc_id": "doc", "pos": "pos", "n": "n", "i": "i"}
+    x, y = (head.select("shingle", *(F.col(c).alias(f"{side}_{n}") for c, n in names.items())) for side in "xy")
+    behind = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
+    enough = 100 * behind >= how.percent * (F.col("x_n") + F.col("y_n") - behind)
+    both = x.join(y, "shingle").where((F.col("x_part") < F.col("y_part")) & enough & _apart("x", "y", how))
+    out = materialise(both.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct(), "pairs")
+    discard(head)
+    return out
+
+
+def similar_classes(windows: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
+    """(a, b): verified links between classes of different words, enough of them to connect all
+    that any links connect.  A written table ``windows`` is deleted once its keys are used."""
+    keys = windows.select(F.explode("keys").alias("key"), "doc_id", "pos", "fp")
+    bounds = [f("doc_id").alias(f"doc_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))] + [f("pos").alias(f"pos_{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    spread = (F.col("doc_lo") != F.col("doc_hi")) | (F.col("pos_hi") - F.col("pos_lo") >= how.length)
+    met = materialise(keys.groupBy("key").agg(*bounds).where(spread).select("key"), "met")
+    # A class stands where it stands first, and its copies meet nothing.
+    classes = roughly_in(keys, "key", met).join(met, "key").groupBy("key", "fp").agg(F.min(F.struct("doc_id", "pos")).alias("p"), F.count(F.lit(1)).alias("held"))
+    classes = materialise(classes.select("key", "fp", "p.*", "held"), "classes")
+    lead = classes.groupBy("key").agg(*bounds, F.min("fp").alias("least"), F.max("fp").alias("last"), F.max(F.struct("held", "fp")).alias("m"))
+    lead = lead.where("least <> last").where(spread).select("key", F.col("m.fp").alias("lead"))
+    members = materialise(classes.join(lead, "key").select("key", "lead", "fp", "doc_id", "pos"), "members")
+    discard(windows, met, classes)
+    places = materialise(members.select("fp", "doc_id", "pos").distinct(), "places")
+    sets = materialise(_shingles(places, docs, how).join(places, "fp"), "sets")
+    discard(places)
+    first = materialise(members.where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), "pairs")
+    good = materialise(_verified(first, sets, how), "links")
+
+    # What the stars left apart: classes of different components under one key.
+    parts = connected_components(good).withColumnRenamed("node", "fp")
+    placed = members.select("key", "fp").join(parts, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    still = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    rest = materialise(sets.join(placed.join(still, "key").select("fp", "part").distinct(), "fp"), "open")
+    discard(members)
+    second = _open_pairs(rest, how)
+    discard(rest)
+    links = materialise(good.unionByName(_verified(second.join(first, ["a", "b"], "left_anti"), sets, how)), "links")
+    discard(sets, first, good, second)
     return links
 
 
@@ -137,16 +192,16 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     n_removed, spans, removed, first_docs).  Spans are merged stretches of words [start, end);
     ``removed`` are those of paragraphs that occur earlier, ``first_docs`` where these do."""
     windows = materialise(paragraphs(docs, how), "paragraphs")
+    places = materialise(windows.select("doc_id", "pos", "fp"), "places")
     comp = connected_components(similar_classes(windows, docs, how))
     # Most classes stand once in the corpus: only those that repeat or resemble others go on.
-    places = windows.select("doc_id", "pos", "fp")
     again = places.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp")
     asked = again.unionByName(comp.select(F.col("node").alias("fp"))).distinct()
     unit = asked.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("unit"))
-    placed = materialise(places.join(unit, "fp").select("doc_id", "pos", "unit"), "places")
-    discard(windows)
-    units = placed.groupBy("unit").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("first_doc <> hi").select("unit", "first_doc")
-    hits = placed.join(units, "unit")
+    kept = materialise(places.join(unit, "fp").select("doc_id", "pos", "unit"), "places")
+    discard(places)
+    units = kept.groupBy("unit").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("first_doc <> hi").select("unit", "first_doc")
+    hits = kept.join(units, "unit")
     stays = F.col("doc_id") == F.col("first_doc")
     per = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", stays.alias("stays")))).alias("at"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
 

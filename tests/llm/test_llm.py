@@ -291,6 +291,30 @@ def test_repeated_passages(docs, corpus):
     assert all(r["removed"] == "" for i, r in got.items() if r["first_docs"] == [i])
 
 
+def test_similar_paragraphs_against_all_pairs(spark):
+    rnd, how = random.Random(31), passages.Passages()
+    texts = []
+    for _ in range(12):
+        base = [rnd.choice(VOCAB) for _ in range(90)]
+        for _ in range(16):
+            w = list(base)
+            for _ in range(rnd.randint(1, 4)):
+                w[rnd.randrange(90)] = rnd.choice(VOCAB) + "y"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = passages.paragraphs(docs, how).cache()
+    sets, at = {}, {}
+    for r in windows.collect():
+        sets[r["fp"]] = shingles(" ".join(texts[r["doc_id"]].split()[r["pos"] : r["pos"] + 32]))
+        at[r["fp"]] = min(at.get(r["fp"], (r["doc_id"], r["pos"])), (r["doc_id"], r["pos"]))
+    fps = sorted(sets)
+    alike = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    alike = [(a, b) for a, b in alike if at[a][0] != at[b][0] or abs(at[a][1] - at[b][1]) >= 32]
+    links = [(r["a"], r["b"]) for r in passages.similar_classes(windows, docs, how).collect()]
+    assert len(alike) > 50 and set(links) <= set(alike)
+    assert groups(fps, links) == groups(fps, alike)
+
+
 # ---------------------------------------------------------------- licences
 
 
