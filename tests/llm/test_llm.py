@@ -346,6 +346,23 @@ def test_leaks(spark, docs, corpus):
     assert {x for x in want if x[0] % 10 < 2 and len(dict(items)[x[1]].split()) > 20} <= got
 
 
+def test_leaks_of_common_words_and_of_long_items(spark):
+    rnd = random.Random(41)
+    rare = lambda n: ["".join(rnd.choice("bcdfghjklm") for _ in range(9)) for _ in range(n)]
+    items = [(1, " ".join(rnd.sample(VOCAB, 9))), (2, " ".join(rnd.sample(VOCAB, 300)))]
+    rows, want = [], set()
+    for doc in range(240):
+        host = rare(100)
+        if item := 1 if doc % 3 == 0 else 2 if doc % 40 == 1 else 0:
+            at = rnd.randrange(100)
+            host[at:at] = dict(items)[item].split()
+            want.add((doc, item))
+        rows.append((doc, " ".join(host)))
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+
 # ---------------------------------------------------------------- mixing
 
 
