@@ -9,7 +9,8 @@ and c(t, e) occurrences of t among these,
 
 and their ratio, 1 where t occurs near e only, is how much of e's information t discloses.
 Terms at or above the threshold near an occurrence of e become ``term`` spans, if enough
-different contexts show the pair (a copied text is one context).  ``sanitise`` writes
+different contexts show the pair (a copied text is one context); with ``everywhere`` they do
+at all their places in all texts.  ``sanitise`` writes
 placeholders over base spans and generalises disclosing terms.
 
 All of it is DataFrame functions.  Texts are read once for spans and contexts, which are
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, free_name, materialise, word_array
+from tessera.llm.common import LOWER, UPPER, free_name, materialise, roughly_in, word_array
 
 #: Kinds in order and what matches.
 KINDS = ("email", "ip", "card", "phone")
@@ -49,12 +50,14 @@ CONTEXT = "array<struct<term:string,start:int,end:int>>"
 class Disclosure:
     """``reach``: characters on each side of an entity whose whole words are its context;
     ``ratio``: PMI / IC from which a term is taken as disclosing; ``contexts``: different
-    contexts that must show term and entity together; ``letters``: least length of a term."""
+    contexts that must show term and entity together; ``letters``: least length of a term;
+    ``everywhere``: whether a disclosing term counts at every place, not only near its entity."""
 
     reach: int = 48
     ratio: float = 0.9
     contexts: int = 3
     letters: int = 3
+    everywhere: bool = False
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -137,6 +140,24 @@ def _around(text: Column, spans: Column, how: Disclosure) -> Column:
     return F.transform(spans, one)
 
 
+def _near(seen: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, terms): the spans of disclosing terms in the contexts of their entities."""
+    return seen.join(telling, ["term", "entity"]).select("row", F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
+
+
+def _everywhere(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, terms): the spans of disclosing terms at all places that no base span touches.
+
+    Each text's distinct terms meet the disclosing ones first; only texts that hold some are cut into places."""
+    each = rows.select("row", F.explode(F.array_distinct(F.transform(word_array(F.col("text_")), term_of))).alias("term"))
+    hot = materialise(roughly_in(each, "term", telling).join(telling, "term").groupBy("row").agg(F.collect_set("term").alias("hot")), "hot")
+    texts = roughly_in(rows.select("row", "text_", "base"), "row", hot.select("row")).join(hot, "row")
+    make = lambda s, e, m: F.struct(s.alias("start"), F.lit(len(KINDS)).alias("ord"), e.alias("end"), F.lit("term").alias("kind"))
+    places = located(F.col("text_"), WORD, lambda m: F.array_contains("hot", term_of(m)), make).cast(SPAN)
+    clear = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    return texts.select("row", F.filter(places, clear).alias("terms"))
+
+
 def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its ``keep`` columns) with, as its last two columns, arrays ``base`` and
     ``terms`` of spans (with underscores in front where a column has that name)."""
@@ -145,7 +166,8 @@ def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None
     slim = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)), text.alias("text_"))
     rows = slim.withColumn("base", base_spans(F.col("text_")))
     near = F.when(F.size("base") > 0, _around(F.col("text_"), F.col("base"), how))
-    rows = materialise(rows.withColumn("near", near).drop("text_").withColumn("row", F.monotonically_increasing_id()), "spans")
+    rows = rows.withColumn("near", near)
+    rows = materialise((rows if how.everywhere else rows.drop("text_")).withColumn("row", F.monotonically_increasing_id()), "spans")
 
     seen = rows.where("near is not null").select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.context", F.explode("n.words").alias("w")).select("row", "entity", "context", "w.*")
     pairs = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"), F.approx_count_distinct("context", 0.01).alias("contexts"))
@@ -157,7 +179,10 @@ def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None
     known = often.join(counts, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("both") * F.col("t") / (F.col("c_t") * F.col("n_e")))
     telling = known.where(pmi >= -how.ratio * F.log2(F.col("n_e") / F.col("t"))).select("term", "entity")
-    found = seen.join(telling, ["term", "entity"]).select("row", F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
+    if how.everywhere:
+        found = _everywhere(rows, materialise(telling.select("term").distinct(), "telling"))
+    else:
+        found = _near(seen, telling)
     out = rows.join(found, "row", "left")
     terms = F.coalesce(F.array_sort(F.col("terms").cast(SPAN)), F.array().cast(SPAN))
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), F.col("base").alias(free_name(kept, "base")), terms.alias(free_name(kept, "terms")))

@@ -18,7 +18,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.personal_data(documents(spark, sf_dir))
+    return private.personal_data(documents(spark, sf_dir), private.Disclosure(everywhere=True))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

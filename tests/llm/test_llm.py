@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import components, language, leaks, licenses, lines, mixing, near, passages, private, quality, tokens
+from tessera.llm import components, language, leaks, licenses, lines, mixing, near, passages, private, quality, queries, tokens
 from tessera.llm.common import free_name
 
 RND = random.Random(5)
@@ -206,6 +206,23 @@ def test_disclosing_terms(spark):
     assert "[term]" in clean[1003] and "[email]" in clean[1003] and "zb.desk" not in clean[1003] and clean[5] == rows[5][1]
 
 
+def test_disclosing_terms_at_all_places(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, prose(80, rnd)) for i in range(200)]
+    rows += [(1000 + i, f"{'Zanzibarski. ' if i == 3 else ''}{prose(40, rnd)} the Zanzibarski desk {rnd.choice(VOCAB)} uses zb.desk@corp.example.com {rnd.choice(VOCAB)} {prose(30, rnd)}") for i in range(8)]
+    rows += [(2000, prose(40, rnd) + " Zanzibarski elsewhere"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_pii(spark, str(tmp_path)).collect()}
+    for i, t in rows[200:-1]:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"Zanzibarski\.?", t)}
+        assert want and want <= set(got[i]["spans"].split(","))
+    assert sum(got[i]["n_term"] for i in range(200)) == 0 and got[2001]["n_term"] == 0
+    clean = [r["text"] for r in private.sanitise(docs, private.Disclosure(everywhere=True)).collect()]
+    assert not any("Zanzibarski" in (t or "") for t in clean)
+
+
+
 # ---------------------------------------------------------------- language model
 
 
