@@ -15,6 +15,8 @@ gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,22 @@ KNOWN: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved."),
 ]
 
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Whole public licence texts (files beside this module) and standard headers, by SPDX id."""
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(names.get(f.stem, f.stem), f.read_text("utf-8")) for f in files] + [("Apache-2.0", _APACHE_HEADER), ("GPL-3.0", _GPL_HEADER), ("MPL-2.0", _MPL_HEADER)]
+
+
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Spellings taken as equal, applied in this order.
@@ -80,10 +98,11 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, license): hits of whole texts (line_no -1) and of lines (from 0)."""
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, line_no, license): hits of whole texts (line_no -1) and of lines (from 0).
+    ``known``: SPDX ids and texts; by default ``KNOWN`` and ``full_texts()``."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(KNOWN, "license string, known string").select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
+    known = spark.createDataFrame([*KNOWN, *full_texts()] if known is None else known, "license string, known string").select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
     text = F.col("text")
     whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.sha2(canonical(text), 256).alias("digest")))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), F.sha2(canonical(x), 256).alias("digest")))

@@ -342,6 +342,15 @@ def test_licenses(spark):
     assert got == [(1, -1, "MIT"), (2, 1, "Apache-2.0")]
 
 
+def test_whole_license_texts_and_own_table(spark):
+    texts = licenses.full_texts()
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(99, "Our own terms hold.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).where("line_no = -1").collect()}
+    assert got == {(i, n) for i, (n, _) in enumerate(texts)}
+    assert [tuple(r) for r in licenses.scan(docs, [("own", "our own terms hold")]).collect() if r["line_no"] < 0] == [(99, -1, "own")]
+
+
+
 # ---------------------------------------------------------------- benchmark
 
 
