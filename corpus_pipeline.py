@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import leaks, lines, mixing, near, quality
 from tessera.llm.common import shared_folder
 
+#: Bands of three slots: at 80 % a pair is missed by all 21 with probability 0.0000003.
+NEAR = near.Near(percent=80, rows=3, agree=34)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -23,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near.drop_near_duplicates(docs, near.Near(percent=80, agree=34))
+    return near.drop_near_duplicates(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,11 @@ def test_one_of_each_group(spark, percent):
 
     docs = spark.createDataFrame([(3, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (4, "")], "doc_id long, text string")
     assert {r[0] for r in near.drop_near_duplicates(docs, near.Near(percent=percent)).collect()} == {1, 2, 4}
+
+
+def test_near_stage_bands_hold_for_its_threshold(spark):
+    how = corpus_pipeline.NEAR
+    assert (1 - (how.percent / 100) ** how.rows) ** (how.slots // how.rows) < 0.00001
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:110])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
