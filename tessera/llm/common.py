@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,22 +45,33 @@ def free_name(columns: list[str], wanted: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir.  Where it is unset, a local master (tests, one machine)
+    gets a folder of its own; a cluster gets an error, as its machines share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     so a lost executor costs a re-read and no recomputation.  Shuffle files of the finished
-    write are of no more use; a collection of the driver's garbage lets Spark delete them."""
+    write are of no more use and are deleted with it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

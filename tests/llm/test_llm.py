@@ -126,18 +126,18 @@ def test_many_near_copies_of_one_text(spark):
 
 def test_line_dedup(spark):
     rnd = random.Random(4)
-    pool = [" ".join(rnd.choice(VOCAB) for _ in range(rnd.choice([1, 2, 3, 7, 8, 9, 12, 30]))) for _ in range(40)]
+    pool = [" ".join(rnd.choice(VOCAB) for _ in range(rnd.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 30, 255, 256, 257, 700]))) for _ in range(40)]
 
     def variant(line):
         w = line.split(" ")
         k = rnd.randrange(len(w))
         return " ".join(rnd.choice([w[:k] + w[k + 1 :], w[:k] + ["neu"] + w[k:], w[:k] + ["neu"] + w[k + 1 :], w]))
 
-    rows = [(i, "\n".join(variant(rnd.choice(pool)) if rnd.random() < 0.8 else prose(12, rnd).replace("\n", " ") for _ in range(rnd.randint(1, 9)))) for i in range(80)]
-    flat = [(i, n, tuple(words_of)) for i, t in rows for n, x in enumerate(t.split("\n")) if len(words_of := x.split()) >= 3]
+    rows = [(i, rnd.choice(["\n", " \n", "\r\n\t"]).join(variant(rnd.choice(pool)).replace(" ", rnd.choice([" ", "  ", "\t"]), 1) if rnd.random() < 0.8 else prose(12, rnd).replace("\n", " ") for _ in range(rnd.randint(1, 9)))) for i in range(80)]
+    flat = [(i, n, tuple(words_of)) for i, t in rows for n, x in enumerate(t.split("\n")) if (words_of := x.split())]
 
     def apart(a, b):
-        if abs(len(a) - len(b)) > 1 or len(min(a, b, key=len)) < 8 and a != b:
+        if abs(len(a) - len(b)) > 1 or len(min(a, b, key=len)) < 5 and a != b:
             return a == b
         p = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         return a == b or a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
