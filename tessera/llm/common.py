@@ -168,20 +168,34 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-class WordHashes:
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    def __init__(self, most: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        h = xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = h(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: Bytes that part words, and a random number for every byte at every place of a word (mod 64).
+_PARTS = np.zeros(256, bool)
+_PARTS[[32, *range(9, 14)]] = True
+_BYTES = mix(np.arange(64 * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 bytes: places of all bytes of words, and each word's start and length among the bytes."""
+    parts = _PARTS[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], parts, [True])).astype(np.int8)))
+    return np.flatnonzero(~parts), edge[::2], edge[1::2] - edge[::2]
+
+
+def byte_hashes(data: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: the bytes at ``at``, cut into words of ``lens`` (none is 0) bytes."""
+    if not len(lens):
+        return np.zeros(0, np.uint64)
+    heads = np.cumsum(lens) - lens
+    place = np.arange(len(at)) - np.repeat(heads, lens)
+    value = _BYTES[((place & 63) << 8) | data[at]]
+    if lens.max() > 64:  # further blocks of 64 bytes weigh differently
+        value *= (2 * (place >> 6) + 1).astype(np.uint64)
+    return mix(np.add.reduceat(value, heads) + lens.astype(np.uint64))
+
+
+def word_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (ASCII lower case) of the texts, one text after the other, and how many words each has."""
+    data = np.frombuffer(b" ".join(texts).lower(), np.uint8)
+    at, starts, lens = word_bounds(data)
+    upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return byte_hashes(data, at, lens), np.diff(np.searchsorted(starts, upto), prepend=0)

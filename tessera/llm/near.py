@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in
+from tessera.llm.common import chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in, word_stream
 from tessera.llm.components import connected_components
 
 
@@ -48,16 +48,16 @@ class Near:
 NEAR = Near()
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: n-grams of its words, or all words as one where there are fewer."""
+    h, sizes = word_stream(texts)
+    s = ngram_hashes(h, size)
     out = []
-    for raw in texts:
-        words = raw.lower().split()
-        h = hashes.of(words)
-        if len(words) >= size:
-            out.append(np.unique(ngram_hashes(h, size)))
-        elif words:
-            out.append(ngram_hashes(mix(h + np.uint64(len(words))), len(words)))
+    for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+        if n >= size:
+            out.append(np.unique(s[end - n : end - size + 1]))
+        elif n:
+            out.append(ngram_hashes(mix(h[end - n : end] + np.uint64(n)), n))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -113,10 +113,8 @@ def signatures(docs: DataFrame, near: Near = NEAR, keep: list[str] | None = None
     """``keep`` columns of ``docs`` with set size, set fingerprint (h1, h2), bit planes p1..p4 and band keys."""
 
     def make():
-        hashes = WordHashes()
-
         def work(texts: list[bytes]) -> list:
-            sets = shingle_sets(texts, hashes, near.words)
+            sets = shingle_sets(texts, near.words)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             sig = super_min_hash(sets, near.slots)
             keys = band_keys(sig, near.rows)
@@ -151,9 +149,8 @@ def shingles_of(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
     texts = texts_of(docs, ids)
 
     def run(batches):
-        hashes = WordHashes()
         for part, texts in chunks(batches, "text"):
-            sets = shingle_sets(texts, hashes, near.words)
+            sets = shingle_sets(texts, near.words)
             of = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(of), pa.array(flat.view(np.int64))], names=["rep", "shingle"])
@@ -192,14 +189,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
-        hashes = WordHashes()
         known: dict[bytes, np.ndarray] = {}
 
         def of(raw: bytes) -> np.ndarray:
             if raw not in known:
                 if len(known) >= 64:
                     known.pop(next(iter(known)))
-                known[raw] = shingle_sets([raw], hashes, near.words)[0]
+                known[raw] = shingle_sets([raw], near.words)[0]
             return known[raw]
 
         for batch in batches:

@@ -306,30 +306,59 @@ def test_repeated_passages(docs, corpus):
         own = {tuple(w[i][k : k + 20]) for k in range(len(w[i]) - 19)}
         assert any(own & {tuple(w[j][k : k + 20]) for k in range(len(w[j]) - 19)} for j in w if j != i)
     assert all(r["removed"] == "" for i, r in got.items() if r["first_docs"] == [i])
+    for r in got.values():  # stretches are apart and in order
+        spans = [tuple(map(int, x.split("-"))) for x in r["spans"].split(",")]
+        assert all(a < z for a, z in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:])) and spans[-1][1] <= len(w[r["doc_id"]])
+        gone = [tuple(map(int, x.split("-"))) for x in r["removed"].split(",") if x]
+        assert all(any(a <= x and y <= z for a, z in spans) for x, y in gone) and bool(gone) == (r["n_removed"] > 0)
+
+
+def test_repeats_within_one_text(spark):
+    rnd = random.Random(77)
+    passage, rest = prose(60, rnd).split(), [prose(70, rnd).split() for _ in range(3)]
+    text = " ".join(rest[0] + passage + rest[1] + passage + rest[2])
+    docs = spark.createDataFrame([(1, text), (2, prose(300, rnd)), (3, "a " * 500), (4, "five words stand here twice"), (5, "Five words stand HERE twice")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.repeated_passages(docs).collect()}
+    assert set(got) == {1, 3, 5, 4} and got[4]["removed"] == "" and got[5]["removed"] == "0-5"
+    first = (len(rest[0]), len(rest[0]) + 60)
+    second = (first[1] + len(rest[1]), first[1] + len(rest[1]) + 60)
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1]
+    spans = [tuple(map(int, x.split("-"))) for x in got[1]["spans"].split(",")]
+    gone = [tuple(map(int, x.split("-"))) for x in got[1]["removed"].split(",")]
+    assert any(inside(x, first) for x in spans) and gone and all(inside(x, second) for x in gone) and sum(b - a for a, b in gone) >= 32
 
 
 def test_similar_paragraphs_against_all_pairs(spark):
     rnd, how = random.Random(31), passages.Passages()
     texts = []
-    for _ in range(12):
-        base = [rnd.choice(VOCAB) for _ in range(90)]
+    for _ in range(14):
+        base = [rnd.choice(VOCAB) for _ in range(300)]
         for _ in range(16):
             w = list(base)
-            for _ in range(rnd.randint(1, 4)):
-                w[rnd.randrange(90)] = rnd.choice(VOCAB) + "y"
-            texts.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            for _ in range(rnd.randint(1, 9)):
+                w[rnd.randrange(300)] = rnd.choice(VOCAB) + "y"
+            texts.append(" ".join(w[rnd.randrange(40) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     windows = passages.paragraphs(docs, how).cache()
-    sets, at = {}, {}
-    for r in windows.collect():
-        sets[r["fp"]] = shingles(" ".join(texts[r["doc_id"]].split()[r["pos"] : r["pos"] + 32]))
-        at[r["fp"]] = min(at.get(r["fp"], (r["doc_id"], r["pos"])), (r["doc_id"], r["pos"]))
-    fps = sorted(sets)
-    alike = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    alike = [(a, b) for a, b in alike if at[a][0] != at[b][0] or abs(at[a][1] - at[b][1]) >= 32]
-    links = [(r["a"], r["b"]) for r in passages.similar_classes(windows, docs, how).collect()]
-    assert len(alike) > 50 and set(links) <= set(alike)
-    assert groups(fps, links) == groups(fps, alike)
+    rows = windows.where("size(keys) > 0").collect()
+    covered = defaultdict(int)
+    sets = {}
+    for r in rows:
+        covered[r["doc_id"]] += r["n"]
+        sets[r["f1"], r["f2"]] = shingles(" ".join(texts[r["doc_id"]].split()[r["pos"] : r["pos"] + r["n"]]))
+    assert {i: len(t.split()) for i, t in enumerate(texts)} == covered  # paragraphs cover texts
+    assert len({frozenset(s) for s in sets.values()}) == len(sets)
+    ids = sorted(sets)
+    alike = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    classes, links = passages.similar_classes(windows, docs, how)
+    name = {r["id"]: (r["f1"], r["f2"]) for r in classes.collect()}
+    links = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in links.collect()]
+    assert len(alike) > 300 and set(links) <= set(alike)
+    found = groups(ids, links)
+    assert sum(found[a] == found[b] for a, b in alike) >= 0.98 * len(alike)
+    keys = {(r["f1"], r["f2"]): set(r["keys"]) for r in rows}
+    meet = [(a, b) for a, b in alike if keys[a] & keys[b]]
+    assert len(meet) >= 0.95 * len(alike) and all(found[a] == found[b] for a, b in meet)  # of classes that share a key no link is lost
 
 
 # ---------------------------------------------------------------- licences
