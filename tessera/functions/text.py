@@ -68,6 +68,9 @@ def cleanup(c: Column) -> Column:
 
 
 def shorten(c: Column, n: int = 100) -> Column:
+    """A summary as it is stored: all quotes to single double ones, then cut."""
+    for old, new in (("''", '"'), ("'", '"'), ('""', '"')):
+        c = F.replace(c, F.lit(old), F.lit(new))
     return F.substring(c, 1, n)
 
 
@@ -83,7 +86,9 @@ def marked_block(text: Column) -> Column:
     opens = lambda x: F.startswith(x, F.lit("=")) & (F.octet_length(x) >= 5)
 
     def closes(x: Column) -> Column:
-        upto = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda k: F.struct(F.substring(x, k, 1).alias("ch"), F.octet_length(F.substring(x, F.lit(1), k - 1)).alias("at")))
+        # A sign at a byte offset of at most 90 is among the first 91 letters, so long lines cost no more.
+        head = F.substring(x, 1, 91)
+        upto = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head))), lambda k: F.struct(F.substring(head, k, 1).alias("ch"), F.octet_length(F.substring(head, F.lit(1), k - 1)).alias("at")))
         return F.exists(upto, lambda s: (s["ch"] == "=") & s["at"].between(4, 90))
 
     start = F.struct(F.lit(0).alias("state"), F.lit("").alias("out"))
@@ -194,6 +199,16 @@ def routed(path: Column) -> Column:
     return F.when(zag, "rewrite").when(parent.rlike("^in[0-9]+$"), "drop").otherwise("index")
 
 
+def rewritten_header(text: Column, pairs: Column) -> Column:
+    """A header text whose first line ``From=KEY`` has the value that the map ``pairs`` gives the trimmed
+    key; without such a line or key it stays as it is."""
+    line = F.regexp_extract(text, r"(?m)(?d)^From=.*$", 0)
+    value = F.try_element_at(pairs, trim_space(F.substring(line, 6, 1 << 30)))
+    at = F.when(F.startswith(text, F.lit("From=")), 1).otherwise(F.instr(text, "\nFrom=") + 1)
+    changed = F.concat(F.substring(text, F.lit(1), at - 1), F.lit("From="), value, F.substring(text, at + F.length(line), F.length(text)))
+    return F.when((line != "") & value.isNotNull(), changed).otherwise(text)
+
+
 def is_outgoing(path: Column) -> Column:
     return F.contains(F.upper(path), F.lit("OUT"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.tables import children, delete, exists, mark, materialise
 
 
 def build_postings(docs: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:
@@ -49,22 +50,20 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(added.select("path", (F.col("last") + F.col("n")).alias("file_id"), F.lit("added").alias("change")))
 
 
-def number_rows(df: DataFrame, order: list[str], buckets: int = 32) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with n = 1, 2, ... in the given order (of columns without equal rows).
 
-    Some of the rows' own keys, picked by hash, bound the ranges of the order; each range is
-    numbered in its own task, after the sizes of the ranges before it.  The bounds are
-    constants of the plan, so every evaluation deals the rows alike.
+    The rows are sorted once by ranges, as many as the session's partitions, and written with
+    their places; a row's number is its place in its range after the sizes of the ranges
+    before, so no task sees more than a range and nothing is computed twice.
     """
-    some = df.select(*order).orderBy(F.xxhash64(*order)).limit(buckets - 1).orderBy(*order).collect()  # fewer than ``buckets`` rows
-    bounds = F.array(*(F.struct(*(F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order)) for r in some))
-    part = F.size(F.filter(bounds, lambda b: b <= F.struct(*order))) if some else F.lit(0)
-    ranged = df.withColumn("part", part)
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
-    starts = sizes.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    return inside.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("inside")).drop("part", "inside", "start")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(ranged.withColumn("at_", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("at_", 33), F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("held_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    starts = sizes.select("part_", F.coalesce(F.sum("held_").over(before), F.lit(0)).alias("start_"))
+    return rows.withColumn("part_", part).join(F.broadcast(starts), "part_").withColumn("n", F.col("start_") + place + 1).drop("at_", "part_", "start_")
 
 
 def apply_refresh(postings: DataFrame, diff: DataFrame, docs: DataFrame) -> DataFrame:
@@ -78,12 +77,12 @@ def apply_refresh(postings: DataFrame, diff: DataFrame, docs: DataFrame) -> Data
 def compact(vocabulary: DataFrame, postings: DataFrame, percent: float = 5.0) -> DataFrame:
     """(old_id, word, new_id): dense ids for words with postings, in the old order, if at least
     ``percent`` of all words are holes; otherwise the ids as they are."""
-    live = vocabulary.join(postings.select("word").distinct(), "word", "left_semi")
-    share = vocabulary.agg(F.count(F.lit(1)).alias("all")).crossJoin(live.agg(F.count(F.lit(1)).alias("live")))
-    due = share.select(((F.col("all") > F.col("live")) & (100 * (F.col("all") - F.col("live")) >= percent * F.col("all"))).alias("due"))
-    dense = number_rows(live.select(F.col("word_id").alias("old_id"), "word"), ["old_id"]).crossJoin(F.broadcast(due)).where("due").select("old_id", "word", (F.col("n") - 1).alias("new_id"))
-    kept = vocabulary.crossJoin(F.broadcast(due)).where("not due").select(F.col("word_id").alias("old_id"), "word", F.col("word_id").alias("new_id"))
-    return dense.unionByName(kept)
+    held = postings.select("word").distinct().withColumn("held", F.lit(True))
+    marked = materialise(vocabulary.select(F.col("word_id").alias("old_id"), "word").join(held, "word", "left"), "vocabulary")
+    words, live = marked.agg(F.count(F.lit(1)), F.count("held")).first()  # two numbers
+    if words > live and 100 * (words - live) >= percent * words:
+        return number_rows(marked.where("held").select("old_id", "word"), ["old_id"]).select("old_id", "word", (F.col("n") - 1).alias("new_id"))
+    return marked.select("old_id", "word", F.col("old_id").alias("new_id"))
 
 
 def missing_postings(stored: DataFrame, docs: DataFrame) -> DataFrame:
@@ -92,12 +91,42 @@ def missing_postings(stored: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def save(postings: DataFrame, files: DataFrame, folder: str, version: int) -> str:
-    """Write one version of the index, clustered by word so that a lookup reads few row groups."""
+    """Write one version of the index, clustered by word so that a lookup reads few row groups.
+    Its mark comes last and at once: a version without one is not there for readers."""
     at = f"{folder}/v{version:08d}"
-    postings.repartitionByRange("word").sortWithinPartitions("word", "file_id").write.parquet(f"{at}/postings")
-    files.write.parquet(f"{at}/files")
+    postings.select("word", "file_id", "cnt").repartitionByRange("word").sortWithinPartitions("word", "file_id").write.mode("overwrite").parquet(f"{at}/postings")
+    files.write.mode("overwrite").parquet(f"{at}/files")
+    mark(postings.sparkSession, f"{at}/_CURRENT")
     return at
 
 
 def load(spark, at: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/files")
+
+
+def current_version(spark, folder: str) -> int | None:
+    """The newest version that is complete."""
+    done = [int(v[1:]) for v in children(spark, folder) if v[:1] == "v" and v[1:].isdigit() and exists(spark, f"{folder}/{v}/_CURRENT")]
+    return max(done, default=None)
+
+
+def load_current(spark, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    version = current_version(spark, folder)
+    return None if version is None else load(spark, f"{folder}/v{version:08d}")
+
+
+def drop_versions(spark, folder: str, keep: int = 2) -> None:
+    """Delete all but the newest complete versions (readers of the last one may still run)."""
+    for v in sorted(v for v in children(spark, folder) if v[:1] == "v" and exists(spark, f"{folder}/{v}/_CURRENT"))[:-keep]:
+        delete(spark, f"{folder}/{v}")
+
+
+FILES = "path string, mtime timestamp, size long, file_id long, removed boolean"
+
+
+def files_after(old: DataFrame, new: DataFrame, diff: DataFrame) -> DataFrame:
+    """The files table (FILES) after a change ``diff`` between ``old`` and the snapshot ``new``: removed
+    files stay as tombstones, so that their ids are not given again."""
+    known = diff.where("change <> 'removed'").select("path", "file_id").join(new.select("path", "mtime", "size"), "path").withColumn("removed", F.lit(False))
+    gone = old.join(known.select("file_id"), "file_id", "left_anti").withColumn("removed", F.lit(True))
+    return known.select("path", "mtime", "size", "file_id", "removed").unionByName(gone.select("path", "mtime", "size", "file_id", "removed"))

@@ -16,20 +16,46 @@ FIELDS = {
 
 
 def union_shards(shards: list[DataFrame]) -> DataFrame:
-    """Shards in order of priority as one table of strings, nulls as empty texts."""
+    """Shards in order of priority as one table.  Columns keep their types, so that conditions and the
+    choice of columns reach the scans; a journal gives texts only in its result (``as_texts``)."""
     out = None
     for i, s in enumerate(shards):
-        clean = s.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in s.columns)).withColumn("shard_prio", F.lit(i))
-        out = clean if out is None else out.unionByName(clean, allowMissingColumns=True)
+        one = s.withColumn("shard_prio", F.lit(i))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
-def journal_query(archive: DataFrame, condition: Column, order_by: list[str | Column], limit: int | None = None) -> DataFrame:
+def as_texts(rows: DataFrame) -> DataFrame:
+    """All columns but shard_prio as texts, nulls as empty ones."""
+    return rows.select(*(F.col(c) if c == "shard_prio" else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns))
+
+
+def journal_query(archive: DataFrame, condition: Column | str, order_by: list[str | Column], limit: int | None = None) -> DataFrame:
     """Rows that meet a condition, by shard and then ``order_by``; ``limit`` holds over all shards."""
     out = archive.where(condition).orderBy("shard_prio", *order_by)
     return out if limit is None else out.limit(limit)
 
 
+#: The fields of a journal result, in order.
+RESULT = ("num", "ddata", "from_to", "tel_num", "podpno", "datapodp", "isp", "pril_name", "kolpril", "blank", "gdesht", "podrazd", "path", "type", "rel")
+
+
+def result_json(rows: DataFrame) -> DataFrame:
+    """(rank, json): journal results (``rank`` and fields) as one JSON object a row; a sink joins them
+    with commas between brackets."""
+    fields = [c for c in rows.columns if c != "rank"]
+    return rows.select("rank", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Sink: one array of the objects of ``result_json``, by rank, written row by row."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, r in enumerate(rows.orderBy("rank").toLocalIterator()):
+            out.write(("," if i else "") + r["json"])
+        out.write("]")
+
+
 def result_row(archive: DataFrame, kind: int) -> DataFrame:
     """The columns of a journal result for one record type; plain journal rows are fully relevant."""
     f = FIELDS[kind]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import engine
 from tessera.config import EngineConfig
 from tessera.functions import text as T
 from tessera.operators import index, search
 from tessera.plans.registry import query, table
+from tessera.tables import shared_folder
 
 PUNCTUATION_SQL = T.PUNCTUATION.replace("'", "''")
 
@@ -21,6 +25,20 @@ def postings_sql(source: str = "SELECT doc_id AS file_id, text FROM documents")
     return f"docs AS ({source}), post AS (SELECT word, file_id, count(*) AS cnt FROM (SELECT file_id, unnest({words_sql('text')}) AS word FROM docs) GROUP BY word, file_id)"
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, sf: str) -> str:
+    """The folder of an index of the documents, built and saved once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        folder = f"{shared_folder(spark).rstrip('/')}/tessera-index-{uuid.uuid4().hex}"
+        files = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("file_id"))
+        index.save(postings_of(spark, sf), files, folder, 1)
+        _SAVED[key] = folder
+    return _SAVED[key]
+
+
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
 
@@ -82,44 +100,78 @@ def index_stats(spark, sf):
     return index.stats(postings_of(spark, sf))
 
 
+@query(f"""WITH {postings_sql()}, lists AS (SELECT word, count(*) FILTER (WHERE file_id % 3 <> 0) AS n FROM post GROUP BY word)
+    SELECT count(*) AS unique_words, CAST(sum(n) AS BIGINT) AS total_postings, count(*) FILTER (WHERE n = 0) AS empty_postings, CAST(sum(CASE WHEN n > 0 THEN 6 * n + 24 ELSE 0 END) AS BIGINT) AS memory_bytes,
+        (SELECT count(DISTINCT file_id) FROM post WHERE file_id % 3 <> 0) AS total_files FROM lists""")
+def index_stats_with_holes(spark, sf):
+    post = index.load_current(spark, saved_index(spark, sf))[0]
+    return index.stats(post.where("file_id % 3 <> 0"), post)
+
+
 @query(_search_sql(REQUESTS[:1], False, 30))
 def search_or_topk(spark, sf):
-    return search.search(postings_of(spark, sf), _requests(spark, REQUESTS[:1]))
+    return search.search(index.load_current(spark, saved_index(spark, sf))[0], _requests(spark, REQUESTS[:1]))
 
 
 @query(_search_sql(ALL_WORDS, True, 5))
 def search_exact_topk(spark, sf):
-    return search.search(postings_of(spark, sf), _requests(spark, ALL_WORDS), EngineConfig(exact=True, limit=5))
+    return search.search(index.load_current(spark, saved_index(spark, sf))[0], _requests(spark, ALL_WORDS), EngineConfig(exact=True, limit=5))
 
 
 @query(_search_sql(REQUESTS, False, 30))
 def search_batch(spark, sf):
-    return search.search(postings_of(spark, sf), _requests(spark))
+    return search.search(index.load_current(spark, saved_index(spark, sf))[0], _requests(spark))
+
+
+@query(_search_sql(REQUESTS, False, 30))
+def search_unindexed(spark, sf):
+    return search.search_texts(docs_of(spark, sf), _requests(spark))
 
 
 @query(_search_sql(REQUESTS, False, 1 << 40))
 def search_unlimited(spark, sf):
-    return search.search(postings_of(spark, sf), _requests(spark), EngineConfig(limit=0))
+    return search.search(index.load_current(spark, saved_index(spark, sf))[0], _requests(spark), EngineConfig(limit=0))
+
+
+_FOUND = f"(SELECT *, 'docs/' || file_id || '.txt' AS path FROM ({_search_sql(REQUESTS, False, 30)}))"
 
 
-def _with_path(found):
-    return found.withColumn("path", F.concat(F.lit("docs/"), F.col("file_id").cast("string"), F.lit(".txt")))
+@query(f"SELECT * FROM {_FOUND}")
+def search_paths(spark, sf):
+    return engine.answer(spark, saved_index(spark, sf), _requests(spark))
 
 
-@query()
+@query(f"SELECT request_id, rank, path || ';' || printf('%.6f', CAST(relevance AS DOUBLE)) AS line FROM {_FOUND}")
 def search_text_lines(spark, sf):
-    return search.text_lines(_with_path(search_batch(spark, sf)))
+    return search.text_lines(search_paths(spark, sf))
+
+
+_ASKED_SQL = ", ".join(f"({i})" for i, _ in REQUESTS)
 
 
-@query()
+@query(f"""WITH lists AS (SELECT request_id, string_agg('["' || path || '",' || CAST(CAST(relevance AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY rank) AS l FROM {_FOUND} GROUP BY request_id)
+    SELECT 'request' || lpad(CAST(i AS VARCHAR), 3, '0') AS label, CASE WHEN l IS NULL THEN '{{"result":false}}' ELSE '{{"result":true,"relevance":[' || l || ']}}' END AS body
+    FROM (VALUES {_ASKED_SQL}) v(i) LEFT JOIN lists ON i = request_id""")
 def search_labelled_json(spark, sf):
-    return search.answers_json(_requests(spark), _with_path(search_batch(spark, sf)))
+    return search.answers(_requests(spark), search_paths(spark, sf))
+
+
+_JOURNAL = """archive AS (SELECT CAST(doc_id AS VARCHAR) AS num, CAST(quality AS VARCHAR) AS quality FROM labels)"""
+
+
+@query(f"""WITH hits AS (SELECT rank, path, relevance FROM {_FOUND} WHERE request_id = 1), {_JOURNAL}
+    SELECT rank, '{{"path":"' || path || '","relevance":' || CAST(relevance AS VARCHAR) || ',"type":1,"num":"' || coalesce(a.num, '') || '","quality":"' || coalesce(a.quality, '') || '"}}' AS json
+    FROM hits LEFT JOIN archive a ON regexp_extract(path, '([0-9]+)[.]txt$', 1) = a.num""")
+def search_journal_json(spark, sf):
+    archive = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("num"), F.col("quality").cast("string").alias("quality"), F.lit(0).alias("shard_prio"))
+    return engine.answer_journal(spark, saved_index(spark, sf), REQUESTS[0][1], archive, "num", ["quality"])
 
 
-@query("""SELECT CAST(i AS INTEGER) AS request_id, r AS request FROM (VALUES (1, 'the first'), (2, 'second one'), (3, '')) v(i, r)""")
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS request_id, text AS request FROM conversations WHERE conv_id % 5 <> 0""")
 def requests_from_json(spark, sf):
-    rows = spark.createDataFrame([('{"Requests": ["the first", "second one", ""]}',), ("{broken",)], "body string")
-    return search.requests_from_json(rows, "body")
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    body = F.to_json(F.struct(F.col("l.text").alias("Requests")))
+    return search.requests_from_json(lists.select("conv_id", F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("body")), "body", ["conv_id"])
 
 
 # ---------------------------------------------------------------- changes
@@ -163,7 +215,7 @@ def refresh_equals_rebuild(spark, sf):
     live AS (SELECT * FROM vocab WHERE word IN (SELECT word FROM post WHERE file_id % 3 <> 0))
     SELECT CAST(word_id AS BIGINT) AS old_id, word, CAST(row_number() OVER (ORDER BY word_id) - 1 AS BIGINT) AS new_id FROM live""")
 def compact_ids(spark, sf):
-    post = postings_of(spark, sf)
+    post = index.load_current(spark, saved_index(spark, sf))[0]
     vocabulary = index.number_rows(post.select("word").distinct(), ["word"]).select("word", (F.col("n") - 1).alias("word_id"))
     return index.compact(vocabulary, post.where("file_id % 3 <> 0"))
 

@@ -14,9 +14,17 @@ from tessera.sources import files
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-@query("SELECT doc_id, upper(text[1:1]) || lower(text[2:60]) AS cap, text[1:100] AS short FROM documents")
+_QUOTES = "replace(replace(replace({}, chr(39) || chr(39), chr(34)), chr(39), chr(34)), chr(34) || chr(34), chr(34))"
+
+
+@query(f"SELECT doc_id, md5(upper(text[1:1]) || lower(text[2:])) AS cap, {_QUOTES.format('text')}[1:100] AS short, {_QUOTES.format('chr(39) || text')}[1:100] AS quoted FROM documents")
 def capitalise_shorten(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.capitalise(F.substring("text", 1, 60)).alias("cap"), T.shorten(F.col("text")).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.capitalise(F.col("text"))).alias("cap"), T.shorten(F.col("text")).alias("short"), T.shorten(F.concat(F.lit("'"), "text")).alias("quoted"))
+
+
+@query(f"SELECT doc_id, md5(translate(text, '{T.UPPER}', '{T.LOWER}')) AS low FROM documents")
+def lowercase_table(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.lower(F.col("text"))).alias("low"))
 
 
 def _cleanup_sql(c):
@@ -31,7 +39,20 @@ def cleanup_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.cleanup(F.col("text"))).alias("digest"), F.md5(T.cleanup(F.concat(F.lit("it''"), "text"))).alias("quoted"))
 
 
-@query()
+_MARKED = "'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || '= ' || string_split(text, chr(10))[1][1:40] || chr(10) || text[50:109] || ' =' || chr(10) || text"
+_BLOCK = rf"""WITH l AS (SELECT doc_id, strlen(text) AS size, list_filter(list_transform(string_split({_MARKED}, chr(10))[4:], lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), ' +', ' ', 'g')), lambda x: NOT contains(x, 'ЛИЧНО')) AS lines FROM documents),
+    s AS (SELECT *, list_position(list_transform(lines, lambda x: starts_with(x, '=') AND strlen(x) >= 5), true) AS a,
+        list_transform(lines, lambda x: len(list_filter(range(1, least(length(x), 91) + 1), lambda k: x[k:k] = '=' AND strlen(x[1:k - 1]) BETWEEN 4 AND 90)) > 0) AS ends FROM l),
+    e AS (SELECT *, list_position(ends[a:], true) AS n FROM s),
+    b AS (SELECT doc_id, size, CASE WHEN a > 0 AND n > 0 THEN regexp_extract(array_to_string(lines[a:a + n - 1], ' '), '(?s)^.*=') ELSE '' END AS block FROM e)"""
+
+
+def _cleaned_sql(c):
+    return rf"regexp_replace({_cleanup_sql(c)}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""{_BLOCK}, c AS (SELECT *, {_cleaned_sql("replace(block, '=', '')")} AS clean FROM b)
+    SELECT doc_id, block, CASE WHEN size <= 5242880 THEN upper(clean[1:1]) || lower(clean[2:]) ELSE '' END AS summary FROM c""")
 def marked_blocks(spark, sf):
     head, lines = F.lit("a\nb\nc\n"), F.split("text", "\n")
     marked = F.concat(head, F.lit("= "), F.substring(F.get(lines, F.lit(0)), 1, 40), F.lit("\n"), F.substring("text", 50, 60), F.lit(" =\n"), F.col("text"))
@@ -75,31 +96,53 @@ def file_digests(spark, sf):
     return table(spark, sf, "pages").select("page_id", files.file_md5(F.col("html").cast("binary")).alias("digest"))
 
 
-@query()
+def _letters_sql(encoding):
+    return "[" + ", ".join(f"chr({ord(c)})" if c != "\x00" else "''" for c in (bytes([b]).decode(encoding, "replace") for b in range(256))) + "]"
+
+
+def _decoded_sql(letters):
+    """UTF-8 bytes of the texts read in a one-byte encoding, letter by letter."""
+    digits = "'0123456789ABCDEF'"
+    read = f"array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: {letters}[(strpos({digits}, p[1:1]) - 1) * 16 + strpos({digits}, p[2:2])]), '')"
+    return f"CASE WHEN contains({read}, chr(65533)) THEN '' ELSE {read} END"
+
+
+@query(f"SELECT doc_id, md5({_decoded_sql('o')}) AS oem, md5({_decoded_sql('w')}) AS windows FROM documents, (SELECT {_letters_sql('cp866')} AS o, {_letters_sql('cp1251')} AS w)")
 def decode_files(spark, sf):
-    raw = table(spark, sf, "documents").select("doc_id", F.encode(F.regexp_replace("text", "[^\\x00-\\x7F]", "?"), "US-ASCII").alias("content"))
-    return raw.select("doc_id", files.decode_oem("content").alias("oem"), files.decode_windows("content").alias("windows"))
+    raw = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return raw.select("doc_id", F.md5(files.decode_oem("content")).alias("oem"), F.md5(files.decode_windows("content")).alias("windows"))
 
 
-_TEXTS = [(1, "where upper(ffrom) like ('%ab%') limit 5"), (2, "select * where upper(familia) like ('%petrov%') limit 12"), (3, "c:\\data\\x"), (4, "see report.docx now"), (5, "ab"), (6, "LIMIT 7"), (7, "limit 99999999999"), (8, "upper( isp ) only"), (9, "Исх. № 17; b"), (10, "12x"), (11, "-4 z"), (12, ""), (13, "abc_1"), (14, "1abc"), (15, "Name_2x")]
-_VALUES = "(VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in _TEXTS) + ") v(id, t)"
+#: Request texts of all kinds, one an order; the same expression in both dialects.
+_TEXT = """CASE CAST(o_orderkey % 10 AS INTEGER) WHEN 0 THEN 'where upper(ffrom) like (' || chr(39) || '%' || o_orderstatus || '%' || chr(39) || ') limit ' || o_custkey
+    WHEN 1 THEN 'select * where upper( status ) like(' || chr(39) || '%' || o_orderpriority || '%' || chr(39) || ') LIMIT  ' || o_custkey WHEN 2 THEN 'c:' || chr(92) || o_custkey
+    WHEN 3 THEN 'see ' || o_orderkey || '.docx now' WHEN 4 THEN o_orderpriority WHEN 5 THEN 'limit ' || o_orderkey || '0000000' WHEN 6 THEN 'Исх. № ' || o_custkey || '; b'
+    WHEN 7 THEN '-' || o_custkey || ' z' WHEN 8 THEN '' ELSE '_name' || o_custkey END"""
+_VALUES = f"(SELECT o_orderkey AS id, {_TEXT} AS t FROM orders)"
 
 
-def _texts(spark):
-    return spark.createDataFrame(_TEXTS, "id int, t string")
+def _texts(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_TEXT).alias("t"))
 
 
 _N, _V, _L = r"regexp_extract(t, '(?i)upper\(\s*([A-Za-z0-9_]+)\s*\)', 1)", r"regexp_extract(t, '(?i)like\s*\(\s*''%([^%'']*)%''\s*\)', 1)", r"regexp_extract(t, '(?i)limit\s+([0-9]+)', 1)"
 _SHORT = f"(CASE WHEN {_N} <> '' THEN {_N} || ' ' ELSE '' END || CASE WHEN {_V} <> '' THEN {_V} || ' ' ELSE '' END || CASE WHEN {_L} <> '' THEN 'limit ' || {_L} || ' ' ELSE '' END)"
+_SUMMARY = f"CASE WHEN lower(t) LIKE 'where%' OR {_SHORT} = '' THEN t ELSE {_SHORT} END"
 
 
-@query(rf"""SELECT CAST(id AS INTEGER) AS id, CASE WHEN lower(t) LIKE 'where%' OR {_SHORT} = '' THEN t ELSE {_SHORT} END AS summary,
+@query(rf"""SELECT id, {_SUMMARY} AS summary,
     length(t) >= 3 AND regexp_matches(t, '(?i)^[a-z]:[\\/]|\.(txt|docx|log|shp|json|xml|ini|pdf|db)') AS path, TRY_CAST(regexp_extract(t, '(?i)\blimit\s+([0-9]+)', 1) AS INTEGER) AS lim,
     regexp_matches(t, '^[a-zA-Z_][a-zA-Z0-9_]{{2,}}$') AS username, TRY_CAST(regexp_extract(t, '^-?[0-9]+') AS INTEGER) AS num,
     CAST(CASE WHEN contains(t, 'Исх') THEN coalesce(TRY_CAST(regexp_extract(replace(replace(replace(replace(t, ' ', ''), 'Исх.', ''), '№', ''), ';', ''), '^-?[0-9]+') AS INTEGER), 0) ELSE 0 END AS INTEGER) AS outgoing FROM {_VALUES}""")
 def text_rules(spark, sf):
     t = F.col("t")
-    return _texts(spark).select("id", T.summarize_sql(t).alias("summary"), T.looks_like_path(t).alias("path"), T.limit_of(t).alias("lim"), T.username_ok(t).alias("username"), T.leading_int(t).alias("num"), T.outgoing_number(t).alias("outgoing"))
+    return _texts(spark, sf).select("id", T.summarize_sql(t).alias("summary"), T.looks_like_path(t).alias("path"), T.limit_of(t).alias("lim"), T.username_ok(t).alias("username"), T.leading_int(t).alias("num"), T.outgoing_number(t).alias("outgoing"))
+
+
+@query("SELECT page_id, contains(upper(url || CASE WHEN page_id % 3 = 0 THEN '/outBox/x' ELSE '' END), 'OUT') AS outgoing FROM pages")
+def outgoing_paths(spark, sf):
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/outBox/x").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", T.is_outgoing(path).alias("outgoing"))
 
 
 # ---------------------------------------------------------------- journal
@@ -115,9 +158,24 @@ def _shards(spark, sf):
 
 @query(f"WITH {_SHARDS} SELECT o_orderkey, shard_prio FROM shards WHERE o_orderstatus = 'F' ORDER BY shard_prio, o_orderkey LIMIT 40")
 def shard_union_limit(spark, sf):
-    months = [table(spark, sf, "orders").where(F.month("o_orderdate") == m).select("o_orderkey", "o_orderstatus") for m in range(12, 0, -1)]
-    found = journal.journal_query(journal.union_shards(months).withColumn("key", F.col("o_orderkey").cast("long")), F.col("o_orderstatus") == "F", ["key"], 40)
-    return found.select(F.col("key").alias("o_orderkey"), "shard_prio")
+    months = [table(spark, sf, "orders").where(F.month("o_orderdate") == m) for m in range(12, 0, -1)]
+    return journal.journal_query(journal.union_shards(months), F.col("o_orderstatus") == "F", ["o_orderkey"], 40).select("o_orderkey", "shard_prio")
+
+
+_FIELDS = "CAST(o_orderkey AS VARCHAR) AS num, CAST(o_orderdate AS VARCHAR) AS ddata"
+
+
+@query(f"""SELECT {_FIELDS}, o_orderstatus AS from_to, CAST(o_custkey AS VARCHAR) AS tel_num, 'p' AS podpno, '' AS datapodp, o_orderpriority AS isp, 'f' || o_custkey AS pril_name, '1' AS kolpril, 'c2' AS blank, 'g' AS gdesht, 'd' AS podrazd,
+        'dir/' || o_orderkey AS path, CAST(0 AS INTEGER) AS type, CAST(1 AS FLOAT) AS rel FROM orders
+    UNION ALL SELECT {_FIELDS}, 'f1', CAST(o_orderkey AS VARCHAR), 'p', '', 'c', 'f5', '1', 'b', 'g', 'd', 'dir/' || o_orderkey, 1, CAST(1 AS FLOAT) FROM orders""")
+def journal_results(spark, sf):
+    orders = table(spark, sf, "orders")
+    fixed = {"podpno": "p", "datapodp": None, "kolpril": 1, "copyes2": "c2", "gdesht": "g", "podrazd": "d", "ffrom1": "f1", "copyes": "c", "ffrom5": "f5", "blank": "b", "directto": "dir/"}
+    rows = orders.select(
+        F.col("o_orderkey").alias("index"), F.col("o_orderdate").alias("ddata"), F.col("o_orderstatus").alias("ffrom"), F.col("o_custkey").alias("telno"), F.col("o_orderpriority").alias("familia"),
+        F.concat(F.lit("f"), "o_custkey").alias("prilname1"), F.col("o_orderkey").alias("filename"), *(F.lit(v).alias(k) for k, v in fixed.items()))
+    texts = journal.as_texts(journal.union_shards([rows])).drop("shard_prio")
+    return journal.result_row(texts, journal.INCOMING).unionByName(journal.result_row(texts, journal.OUTGOING))
 
 
 @query(f"WITH {_SHARDS} SELECT o_custkey, o_orderkey, shard_prio FROM shards QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY shard_prio, o_orderkey) = 1")
@@ -151,15 +209,16 @@ def search_journal(spark, sf):
     return journal.search_journal(hits, archive, "num", ["quality"]).select("rank", "type", "num", "quality")
 
 
-@query("""WITH way AS (SELECT l_orderkey AS number, CAST(l_linenumber % 2 AS INTEGER) AS type, l_returnflag AS kuda, l_linestatus AS ind FROM lineitem WHERE l_orderkey % 20 = 0),
-    pend AS (SELECT o_orderkey AS number, CAST(o_custkey % 2 AS INTEGER) AS type, o_orderpriority AS gdesht FROM orders WHERE o_orderkey % 20 = 0 AND o_orderstatus = 'O')
-    SELECT number, type, kuda, ind FROM way UNION ALL SELECT number, type, 'L-k:' || gdesht, '0' FROM pend""")
+@query("""WITH way AS (SELECT l_orderkey AS number, CAST(l_linenumber % 2 AS INTEGER) AS type, l_returnflag AS kuda, CAST(l_shipdate AS VARCHAR) AS ddate, l_linenumber || ':00' AS ttime, l_linestatus AS ind, 's' AS str, 'p' AS pos FROM lineitem),
+    pend AS (SELECT o_orderkey AS number, CAST(o_custkey % 2 AS INTEGER) AS type, o_orderpriority AS gdesht FROM orders WHERE o_orderstatus = 'O')
+    SELECT * FROM way UNION ALL SELECT number, type, 'L-k:' || gdesht, '02.03.2024', '04:05:06', '0', '-', '-' FROM pend""")
 def route_with_pending(spark, sf):
     line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    blank = [F.lit("").alias(c) for c in ("ddate", "ttime", "str", "pos")]
-    way = line.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("number"), (F.col("l_linenumber") % 2).cast("int").alias("type"), F.col("l_returnflag").alias("kuda"), F.col("l_linestatus").alias("ind"), *blank)
-    tab = orders.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("number"), (F.col("o_custkey") % 2).cast("int").alias("type"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("print"), F.col("o_orderpriority").alias("gdesht"), F.col("o_orderkey").alias("seq"))
-    return journal.route(way, tab, F.current_timestamp()).select("number", "type", "kuda", "ind")
+    way = line.select(
+        F.col("l_orderkey").alias("number"), (F.col("l_linenumber") % 2).cast("int").alias("type"), F.col("l_returnflag").alias("kuda"), F.col("l_shipdate").cast("string").alias("ddate"),
+        F.concat("l_linenumber", F.lit(":00")).alias("ttime"), F.col("l_linestatus").alias("ind"), F.lit("s").alias("str"), F.lit("p").alias("pos"))
+    tab = orders.select(F.col("o_orderkey").alias("number"), (F.col("o_custkey") % 2).cast("int").alias("type"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("print"), F.col("o_orderpriority").alias("gdesht"), F.col("o_orderkey").alias("seq"))
+    return journal.route(way, tab, F.to_timestamp(F.lit("2024-03-02 04:05:06")))
 
 
 @query("""WITH parts AS (SELECT p_partkey, unnest(string_split(replace(p_name, ' ', ';'), ';')) AS name FROM part),
@@ -317,21 +376,45 @@ def rewrite_from(spark, sf):
     return upkeep.rewrite_from(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("sender")), pairs)
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, event_type AS request_type, 'where user ' || user_id AS request_text, CAST(user_id AS VARCHAR) AS user_name FROM events")
+_SENDER = "CASE WHEN o_custkey % 2 = 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE ' ' || o_custkey || ' ' END"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'x From=' || o_custkey ELSE 'To=me' || chr(10) || 'From=' || {_SENDER} || chr(10) || 'From= ' || o_custkey || chr(10) END AS text
+    FROM orders""")
+def header_rewrite(spark, sf):
+    pairs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("key"), F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("value"))
+    key = F.col("o_custkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x From="), key)).otherwise(F.concat(F.lit("To=me\nFrom= "), key, F.lit(" \nFrom= "), key, F.lit("\n")))
+    return upkeep.rewrite_headers(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), pairs)
+
+
+@query(rf"""WITH v AS {_VALUES} SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%H:%M:%S') AS time, o_orderpriority AS request_type, {_SUMMARY} AS request_text, CAST(o_custkey AS VARCHAR) AS user_name
+    FROM orders JOIN v ON o_orderkey = id""")
 def request_log(spark, sf):
-    rows = table(spark, sf, "events").select("ts", F.col("event_type").alias("request_type"), F.concat(F.lit("where user "), F.col("user_id").cast("string")).alias("request_text"), F.col("user_id").cast("string").alias("user_name"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("request_type"), F.expr(_TEXT).alias("request_text"), F.col("o_custkey").cast("string").alias("user_name"))
     return upkeep.request_log(rows)
 
 
-@query(r"""WITH u AS (SELECT page_id AS seq, 'f' || (page_id % 40) || CASE WHEN page_id % 2 = 0 THEN '.txt' ELSE '' END AS name, page_id % 3 AS size FROM pages),
-    e AS (SELECT DISTINCT 'f' || (page_id % 20) || CASE WHEN page_id % 2 = 0 THEN '.txt' ELSE '' END AS name, CAST(1 AS BIGINT) AS size FROM pages),
-    c AS (SELECT u.*, e.name IS NOT NULL AND e.size <> u.size AS clash, row_number() OVER (PARTITION BY u.name, e.name IS NOT NULL AND e.size <> u.size ORDER BY seq) AS n FROM u LEFT JOIN e ON u.name = e.name)
-    SELECT seq, name, size, CASE WHEN clash THEN regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) || '(' || n || ')' || regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) ELSE name END AS saved_as FROM c""")
+_UPLOADS = "SELECT page_id AS seq, CASE WHEN page_id % 7 = 0 THEN 'f1(1).txt' ELSE 'f' || (page_id % 8) || CASE WHEN page_id % 2 = 0 THEN '.txt' ELSE '' END END AS name, page_id % 3 AS size FROM pages"
+
+
+@query(rf"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (ORDER BY seq) AS k, regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) AS stem, regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) AS ext FROM ({_UPLOADS})),
+    e AS (SELECT DISTINCT 'f' || (page_id % 4) || CASE WHEN page_id % 2 = 0 THEN '.txt' ELSE '' END AS name, CAST(1 AS BIGINT) AS size FROM pages),
+    go(k, names, sizes, seq, name, size, saved_as) AS (
+        SELECT CAST(0 AS BIGINT), list(name), list(size), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM e
+        UNION ALL
+        SELECT k, CASE WHEN free THEN list_append(names, saved_as) ELSE names END, CASE WHEN free THEN list_append(sizes, size) ELSE sizes END, seq, name, size, saved_as FROM (
+            SELECT *, NOT list_contains(names, saved_as) AS free FROM (
+                SELECT u.k, g.names, g.sizes, u.seq, u.name, u.size, CASE WHEN NOT list_contains(g.names, u.name) OR g.sizes[list_position(g.names, u.name)] = u.size THEN u.name
+                    ELSE list_filter(list_transform(range(1, 1001), lambda i: u.stem || '(' || i || ')' || u.ext), lambda c: NOT list_contains(g.names, c))[1] END AS saved_as
+                FROM go g JOIN u ON u.k = g.k + 1)))
+    SELECT seq, name, size, saved_as FROM go WHERE seq IS NOT NULL""")
 def upload_names(spark, sf):
     k = F.col("page_id")
     name = lambda m: F.concat(F.lit("f"), (k % m).cast("string"), F.when(k % 2 == 0, ".txt").otherwise(""))
     pages = table(spark, sf, "pages")
-    return upkeep.upload_names(pages.select(k.alias("seq"), name(40).alias("name"), (k % 3).alias("size")), pages.select(name(20).alias("name"), F.lit(1).cast("long").alias("size")).distinct())
+    uploads = pages.select(k.alias("seq"), F.when(k % 7 == 0, "f1(1).txt").otherwise(name(8)).alias("name"), (k % 3).alias("size"))
+    return upkeep.upload_names(uploads, pages.select(name(4).alias("name"), F.lit(1).cast("long").alias("size")).distinct())
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS \"user\", CASE WHEN conv_id % 2 = 0 THEN 'box/' || conv_id ELSE 'Operator no found!' END AS folder FROM (SELECT DISTINCT conv_id FROM conversations)")
