@@ -1,10 +1,7 @@
-"""Shared pieces: fixed text rules, Arrow batches and tables in the shared folder."""
+"""Shared pieces: fixed text rules, Arrow batches and hashes."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.tables import cleaning, discard, materialise, shared_folder  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these (bytes.split() splits at the same six).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,51 +40,6 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-# ---------------------------------------------------------------- shared folder
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Where it is unset, a local master (tests, one machine)
-    gets a folder of its own; a cluster gets an error, as its machines share no local folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-#: Spark's setting that deletes a query's shuffle files when the query has ended.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs a re-read and no recomputation.  Shuffle files of the finished
-    write are of no more use and are deleted with it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "_tessera_path", None):
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def roughly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -> DataFrame:
     """Rows of ``df`` whose ``column`` falls into a hash bucket of some value in ``ids`` (one
     column): all that match and few others, before a join that shuffles wide rows.

@@ -1,7 +1,8 @@
 """Licence scans by canonical digests.
 
 A text is made canonical: ASCII lower case, no copyright lines, one spelling of equivalent
-words, and any other characters than letters and digits as single spaces.  Its SHA-256 is
+words, and any other characters than letters and digits of any script (so curly quotes, too)
+as single spaces.  Its SHA-256 is
 joined with the digests of known licence texts and notices.  Both whole documents and their
 single lines are looked up, each as an entire text.
 
@@ -72,13 +73,14 @@ _MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Pu
 
 def full_texts() -> list[tuple[str, str]]:
     """Whole public licence texts (files beside this module) and standard headers, by SPDX id."""
-    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
     files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
     return [(names.get(f.stem, f.stem), f.read_text("utf-8")) for f in files] + [("Apache-2.0", _APACHE_HEADER), ("GPL-3.0", _GPL_HEADER), ("MPL-2.0", _MPL_HEADER)]
 
 
-COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
-OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: A line that names a year, sign or holder; text that goes on with "copyright notice" is none.
+COPYRIGHT_LINE = r"^[ \t]*(?:copyright[^a-z\n]*(?:\(c\)|©|[0-9<\[{]|the |by )|\(c\)|©)[^\n]*"
+OTHER = r"[^a-z0-9\p{L}\p{M}\p{N}]+"
 #: Spellings taken as equal, applied in this order.
 SPELLINGS = [("&", " and "), ("licence", "license"), ("favour", "favor"), ("organis", "organiz"), ("https://", "http://"), ("non-commercial", "noncommercial")]
 
@@ -98,20 +100,25 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+def digests(spark, known: list[tuple[str, str]]) -> DataFrame:
+    """(license, digest) of SPDX ids and texts."""
+    return spark.createDataFrame(known, "license string, known string").select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
+
+
+def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """(doc_id, line_no, license): hits of whole texts (line_no -1) and of lines (from 0).
-    ``known``: SPDX ids and texts; by default ``KNOWN`` and ``full_texts()``."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([*KNOWN, *full_texts()] if known is None else known, "license string, known string").select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
+    ``known``: SPDX ids and texts, or a table (license, digest) of any size, whose join Spark
+    plans by its size; by default ``KNOWN`` and ``full_texts()``."""
+    table = known if isinstance(known, DataFrame) else F.broadcast(digests(docs.sparkSession, [*KNOWN, *full_texts()] if known is None else known))
     text = F.col("text")
     whole = F.array(F.struct(F.lit(-1).alias("line_no"), F.sha2(canonical(text), 256).alias("digest")))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), F.sha2(canonical(x), 256).alias("digest")))
     units = docs.where("text is not null").select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).select("doc_id", "u.*")
-    return units.join(F.broadcast(known), "digest").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "license")
+    return units.join(table, "digest").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "license")
 
 
 def scan_sql() -> str:
-    quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in [*KNOWN, *full_texts()])
     return f"""
         WITH known(license, known) AS (VALUES {quoted}),
         digests AS (SELECT DISTINCT license, sha256({canonical_sql("known")}) AS digest FROM known),

@@ -20,7 +20,8 @@ orders more than that many totals.
 Defined results: texts without words have size 0 and take 0 words; a null source is one
 source, the last; rows that share id and text share their place in the order by
 their text's hash and are taken as one after the other; an empty table gives an empty
-table; if no document has words all targets are 0; further columns are ignored.
+table; if no document has words all targets are 0; further columns are ignored, but kept by
+``mixed_corpus``.  One row a source comes to the driver, which makes the schedule's plan.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, word_array
+from tessera.llm.common import free_name, materialise, word_array
 
 
 @dataclass(frozen=True)
@@ -107,16 +108,25 @@ def plan(spark, by_source: list[tuple[str | None, int]], mix: Mix) -> tuple[Data
     return spark.createDataFrame(rows, "source string, source_size long, target double, words long, slots long, block long, blocks long, lo long, hi long"), n
 
 
-def schedule(sources: DataFrame, n: int) -> DataFrame:
+#: Sources up to which their table goes to every task; its rows are these and the cells' number at most.
+FEW = 20_000
+
+
+def schedule(sources: DataFrame, n: int, few: bool) -> DataFrame:
     """(slot, source, rank): which block of which source each slot takes.
 
     A source so small that no point falls on it has one slot after all others.  Points find
-    their source through the cells of the unit interval that its stretch touches.
+    their source through the cells of the unit interval that its stretch touches; where the
+    sources are ``few`` their slots are ranked where they are made, otherwise after being dealt
+    out by slot.
     """
     cell = BITS - 12
     stretches = sources.where("slots > 0").select("source", "lo", "hi", "blocks", F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
-    slots = sources.sparkSession.range(n).withColumnRenamed("id", "slot").withColumn("point", _point(F.col("slot"))).withColumn("cell", F.shiftright("point", cell))
-    hit = slots.join(stretches, "cell").where("point >= lo and point < hi")
+    spark = sources.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // 200_000))
+    slots = spark.range(0, n, 1, parts).withColumnRenamed("id", "slot").withColumn("point", _point(F.col("slot"))).withColumn("cell", F.shiftright("point", cell))
+    hit = slots.join(F.broadcast(stretches) if few else stretches, "cell").where("point >= lo and point < hi")
+    hit = hit if few else hit.repartition(parts, "slot")
     ranked = hit.select("slot", "source", (below("slot", "hi") - below("slot", "lo")).alias("rank"), "blocks").where("rank < blocks").drop("blocks")
     late = sources.where("slots = 0 and blocks > 0").select(F.lit(n).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("rank"))
     return ranked.unionByName(late)
@@ -127,18 +137,22 @@ def _point(i: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(i), BITS, "0")), 2, 10).cast("long")
 
 
-def sizes(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, source, size, and the shuffled place (key, tie) of every row."""
+def sizes(docs: DataFrame, mix: Mix, *keep: str) -> DataFrame:
+    """doc_id, source, size, and the shuffled place (key, tie) of every row, with its ``keep`` columns."""
     words = word_array(F.col("text"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("size"), F.xxhash64("doc_id", F.lit(mix.seed)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("size"), F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(mix.seed)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), *keep)
 
 
-def mixture(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, mix: Mix = Mix(), row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents (row, doc_id, source, size, source_size, target) and the mix itself:
     (slot, source, rank, row, doc_id, from_word, to_word), each piece a stretch of a
-    document's words that the slot takes, to be read in the order of slots and positions."""
+    document's words that the slot takes, to be read in the order of slots and positions.
+    ``row``: a column of ``docs`` that tells its rows apart, if it has one already."""
     spark = docs.sparkSession
-    rows = materialise(sizes(docs, mix).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    if row is None:
+        rows = materialise(sizes(docs, mix).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    else:
+        rows = materialise(sizes(docs, mix, row).withColumnRenamed(row, "row"), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).collect()  # one row a source
     bits = max(3, math.ceil(math.log2(max(1, sum(r["docs"] for r in per))) / 2))
     sources, n = plan(spark, [(r["source"], r["n"]) for r in per], mix)
@@ -157,7 +171,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     again = F.explode(F.expr("sequence(0L, (words - start - 1) div source_size)")).alias("reading")
     read = stream.where("size > 0 and start < words").select("*", again).withColumn("a", F.expr("reading * source_size + start")).withColumn("b", F.expr("least(a + size, words)"))
     pieces = read.select("row", "doc_id", "s", "block", "a", "b", F.explode(F.expr("sequence(a div block, (b - 1) div block)")).alias("rank"))
-    slots = schedule(sources, n).withColumn("s", F.xxhash64("source"))
+    slots = schedule(sources, n, len(per) <= FEW).withColumn("s", F.xxhash64("source"))
     first = F.expr("greatest(0L, rank * block - a)")
     mixed = pieces.join(slots, ["s", "rank"]).select("slot", "source", "rank", "row", "doc_id", first.alias("from_word"), F.expr("least(b, (rank + 1) * block) - a").alias("to_word"))
     return stream.select("row", "doc_id", "source", "size", "source_size", "target"), mixed
@@ -168,3 +182,23 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows, mixed = mixture(docs, mix)
     taken = mixed.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"))
     return rows.join(taken, "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+
+
+#: Columns that ``mixed_corpus`` adds.
+ADDED = ("size", "source_size", "target", "taken", "slots")
+
+
+def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes words, with all their columns and ADDED: words of the
+    row and of its source, the source's target, words taken, and ``slots``, a list of (slot,
+    from_word, to_word) by slot.  Read in the order of slots, these stretches are the mix: a
+    consumer that sorts or ranges by the first slot gets every prefix in the target proportions.
+    """
+    row = free_name([*docs.columns, "doc_id", "source", "size", "key", "tie"], "row_")
+    own = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows, mixed = mixture(own, mix, row)
+    pieces = mixed.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).cast("long").alias("taken"), F.array_sort(F.collect_list(F.struct("slot", "from_word", "to_word"))).alias("slots"))
+    facts = rows.select("row", "size", "source_size", "target").join(pieces, "row")
+    names = {c: free_name(docs.columns, c) for c in ADDED}
+    facts = facts.select(F.col("row").alias(row), *(F.col(c).alias(names[c]) for c in ADDED))
+    return own.join(facts, row).select(*(f"`{c}`" for c in docs.columns), *names.values())

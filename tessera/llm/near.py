@@ -171,7 +171,7 @@ def open_pairs(members: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle")) - 1
     head = each.join(held, "shingle").withColumn("i", place).join(members, "rep").where("held > 1").where(100 * (F.col("n") - F.col("i")) >= near.percent * F.col("n"))
-    head = materialise(head, "heads")
+    head = head_table = materialise(head, "heads")
     across = head.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle")
     head = head.join(across, "shingle")
     cols = ("shingle", "rep", "n", "i", "part", "p1", "p2", "p3", "p4")
@@ -179,7 +179,9 @@ def open_pairs(members: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     behind = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
     enough = 100 * behind >= near.percent * (F.col("x_n") + F.col("y_n") - behind)
     on = (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_part") < F.col("y_part")) & enough & alike(near)
-    return x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    out = materialise(x.join(y, on).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), "pairs")
+    discard(each, head_table)
+    return out
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
@@ -208,7 +210,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
             keep = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema).distinct()
+    out = materialise(both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema).distinct(), "links")
+    discard(texts)
+    return out
 
 
 def _pairs(left: DataFrame, right: DataFrame, near: Near) -> DataFrame:
@@ -234,18 +238,19 @@ def links(sig: DataFrame, docs: DataFrame, near: Near = NEAR) -> tuple[DataFrame
 
     chief = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "rep", "n", "p1", "p2", "p3", "p4")).alias("m")).select("key", "m.*")
     first = materialise(_pairs(members, chief, near), "pairs")
-    good = materialise(confirm(first, docs, near), "links")
+    good = confirm(first, docs, near)
     parts = connected_components(good)
 
     # What the stars left apart: members of different components under one key.
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     rest = materialise(placed.join(open_keys, "key").select("rep", "n", "p1", "p2", "p3", "p4", "part").distinct(), "open")
-    second = materialise(open_pairs(rest, docs, near).join(first, ["a", "b"], "left_anti"), "pairs")
+    met = open_pairs(rest, docs, near)
+    second = materialise(met.join(first, ["a", "b"], "left_anti"), "pairs")
     more = confirm(second, docs, near)
     all_links = materialise(good.unionByName(more), "links")
     comp = connected_components(all_links)
-    discard(members, first, good, rest, second, all_links)
+    discard(members, first, good, rest, met, second, more, all_links)
     return classes.select("h1", "h2", "n_shingles", "rep"), comp
 
 

@@ -272,10 +272,11 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     unit, place = ["wide", "u1", "u2"], F.struct("doc_id", "pos", "n")
     ends = places.groupBy(*unit).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     apart = lambda doc, pos: (doc != F.col("first.doc_id")) | (pos - F.col("first.pos") >= F.col("first.n"))
-    first = ends.where(apart(F.col("last.doc_id"), F.col("last.pos"))).select(*unit, "first")
+    # Written apart, so that the join below deals out places by itself and a hot unit can be split.
+    first = materialise(ends.where(apart(F.col("last.doc_id"), F.col("last.pos"))).select(*unit, "first"), "first")
     hits = places.join(first, unit).select("doc_id", "pos", (F.col("pos") + F.col("n")).alias("end"), apart(F.col("doc_id"), F.col("pos")).alias("goes"), F.col("first.doc_id").alias("first_doc"))
     hits = materialise(hits, "hits")
-    discard(places)
+    discard(places, first)
 
     # Stretches of a document begin where no earlier place reaches: of all places (k), and of those that go (g).
     order = Window.partitionBy("doc_id").orderBy("pos", "end")

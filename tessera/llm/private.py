@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, free_name, materialise, roughly_in, word_array
+from tessera.llm.common import LOWER, UPPER, discard, free_name, materialise, roughly_in, word_array
 
 #: Kinds in order and what matches.
 KINDS = ("email", "ip", "card", "phone")
@@ -77,22 +77,39 @@ def _hint(kind: str, text: Column) -> Column:
     return {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]"))
 
 
+#: Matches whose places are added up in one go.
+BLOCK = 256
+
+
 def located(text: Column, pattern: str, keep, make) -> Column:
     """An array of ``make(start, end, match)`` for the matches that ``keep`` accepts.
 
-    Split pieces and matches alternate, so running lengths give every match its place.
+    Split pieces and matches alternate, so running lengths give every match its place: inside
+    blocks of matches first, then over the blocks, as every step copies what it has so far.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    kept = F.array(make(F.lit(0), F.lit(0), F.lit("")))
-    none = F.filter(kept, lambda x: F.lit(False))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("m"))), lambda x: F.lit(False))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        out = F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(s["out"], F.array(make(start, end, x["m"])))).otherwise(s["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))
+        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(s["out"], found)).otherwise(s["out"]).alias("out"))
+
+    def places(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), add)
+
+    def join(s: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), (x["end"] + s["at"]).alias("end"), x["m"].alias("m")))
+        return F.struct((s["at"] + block["at"]).alias("at"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+    def whole(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: places(F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+        far = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.filter(F.array(none), lambda x: F.lit(False)).alias("out")), join, lambda s: F.flatten(s["out"]))
+        return F.when(F.size(p) <= BLOCK, places(p)["out"]).otherwise(far)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    # The array is bound by a transform over it, so that it is made once and not for every block.
+    return F.transform(F.element_at(F.transform(F.array(pairs), whole), 1), lambda x: make(x["start"], x["end"], x["m"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -170,7 +187,9 @@ def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None
     rows = materialise((rows if how.everywhere else rows.drop("text_")).withColumn("row", F.monotonically_increasing_id()), "spans")
 
     seen = rows.where("near is not null").select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.context", F.explode("n.words").alias("w")).select("row", "entity", "context", "w.*")
-    pairs = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"), F.approx_count_distinct("context", 0.01).alias("contexts"))
+    # Copies of a context are added up first, so a hot pair is summed from partial counts.
+    per_context = seen.groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = per_context.groupBy("term", "entity").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
     near_words = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     often = materialise(pairs.where(F.col("contexts") >= how.contexts).join(near_words, "entity"), "pairs")
     counts = docs.select(F.explode(word_array(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
@@ -178,9 +197,10 @@ def find(docs: DataFrame, how: Disclosure = Disclosure(), keep: list[str] | None
     total = counts.agg(F.coalesce(F.sum("c_t"), F.lit(0)).cast("double").alias("t"))
     known = often.join(counts, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("both") * F.col("t") / (F.col("c_t") * F.col("n_e")))
-    telling = known.where(pmi >= -how.ratio * F.log2(F.col("n_e") / F.col("t"))).select("term", "entity")
+    telling = materialise(known.where(pmi >= -how.ratio * F.log2(F.col("n_e") / F.col("t"))).select("term", "entity"), "telling")
+    discard(often, counts)
     if how.everywhere:
-        found = _everywhere(rows, materialise(telling.select("term").distinct(), "telling"))
+        found = _everywhere(rows, telling.select("term").distinct())
     else:
         found = _near(seen, telling)
     out = rows.join(found, "row", "left")
