@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import leaks, lines, mixing, near, quality
-from tessera.llm.common import shared_folder
+from tessera.llm.common import discard, materialise
 
 #: Bands of three slots: at 80 % a pair is missed by all 21 with probability 0.0000003.
 NEAR = near.Near(percent=80, rows=3, agree=34)
@@ -35,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents of which it takes no word are not in it."""
-    return mixing.mix_documents(docs).where("taken > 0")
+    """The training corpus: documents with their text, how many words the mix takes of them, and the
+    slots of the schedule that take these; documents of which it takes no word are not in it."""
+    return mixing.mixed_corpus(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -47,15 +47,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source mixing", source_mixing),
 ]
 
-#: Near-duplicate groups and latent retrieval have no SQL; tests compare each stage with a brute-force version.
+#: Near-duplicate groups and latent retrieval have no SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's result is a table in the shared folder, deleted once
+    the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        after = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        docs = before = after
     return docs
