@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, free_name, materialise, roughly_in, spaced
+from tessera.llm.common import discard, free_name, materialise, roughly_in
 
 #: Words whose hash chain is built in one go.
 BLOCK = 256
@@ -182,5 +182,5 @@ def dedup_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     numbers = F.array_sort(F.concat(blank, F.coalesce(F.col(stay), F.array().cast("array<int>"))))
     # Lines are cut once a row: a column of its own that is used twice is not computed for each line.
     both = both.withColumn(new, F.when(F.size(cut) > 0, F.array_join(F.transform(numbers, lambda i: F.get(cut, i)), "\n")))
-    lost = (spaced(F.col(new)) == "") & (spaced(F.col("text")) != "")
-    return both.where(F.col("text").isNull() | ~lost).select(*(F.col(new).alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    has_words = lambda c: F.col(c).rlike(r"[^\x20\x09-\x0D]")
+    return both.where(F.col("text").isNull() | has_words(new) | ~has_words("text")).select(*(F.col(new).alias("text") if c == "text" else keyed[c] for c in docs.columns))
