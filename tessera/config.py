@@ -12,7 +12,7 @@ class EngineConfig:
     """``limit`` <= 0 means unlimited; ``min_size`` is in bytes and holds for scans only;
     ``compact_percent``: share of holes from which the index is compacted."""
 
-    name: str = "TestServer"
+    name: str = "tessera"
     limit: int = 30
     exact: bool = False
     normalize_query: bool = True
