@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tessera.functions import text as T
-from tessera.tables import exists
+from tessera.tables import exists, files_under
 
 
 def scan_files(spark: SparkSession, dirs: list[str], extensions: list[str] = (), exclude: list[str] = (), min_size: int = 10, content: bool = True) -> DataFrame:
@@ -73,8 +73,9 @@ def file_md5(content: Column) -> Column:
 def attachments_in(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content): all files of a folder by relative path."""
     base = folder.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select(F.substring_index("path", base, -1).alias("name"), "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.substring_index("path", base, -1).alias("name"), "content")
+    empty = [(name, b"") for name, size, _ in files_under(spark, folder) if not size]
+    return found.unionByName(spark.createDataFrame(empty, "name string, content binary")) if empty else found
 
 
 def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -196,8 +197,8 @@ def backup_jobs(path: str) -> list[dict]:
 
 
 def walk_events(spark: SparkSession, dirs: list[str], extensions: list[str] = ()) -> DataFrame:
-    """(path, ts, seq, event): an Added event for every file under ``dirs``, as when watching begins or a
-    folder comes back."""
+    """(path, ts, seq, event): an Added event for every file under ``dirs`` that has any bytes, as when
+    watching begins or a folder comes back."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dirs))
     kept = found.where(T.has_extension_event(T.file_name(F.col("path")), list(extensions)))
     return kept.select("path", F.current_timestamp().alias("ts"), F.monotonically_increasing_id().alias("seq"), F.lit("Added").alias("event"))

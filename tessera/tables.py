@@ -93,3 +93,15 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
     to.mkdirs(b.getParent())
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, True, spark.sparkContext._jsc.hadoopConfiguration())
     to.setTimes(b, fs.getFileStatus(a).getModificationTime(), -1)
+
+
+def files_under(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """Relative path, size and modification time (milliseconds) of all files under a folder, empty ones
+    too, which Spark's file sources leave out; for folders that one machine can list."""
+    at, fs = _at(spark, folder.rstrip("/"))
+    base = fs.makeQualified(at).toString().rstrip("/") + "/"
+    found, out = fs.listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString().removeprefix(base), f.getLen(), f.getModificationTime()))
+    return sorted(out)

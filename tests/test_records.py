@@ -214,8 +214,9 @@ def test_backup_runs(spark, tmp_path):
     root.mkdir()
     (source / "a").write_text("one")
     (source / "sub" / "b").write_text("two")
+    (source / "none").write_text("")
     run = lambda minute, most=2: upkeep.run_backup(spark, str(source), str(root), datetime(2024, 1, 1, 0, minute), most)
-    assert run(0) == ["a", "sub/b"] and (root / "data_backup" / "sub" / "b").read_text() == "two" and run(1) == []
+    assert run(0) == ["a", "none", "sub/b"] and (root / "data_backup" / "none").exists() and (root / "data_backup" / "sub" / "b").read_text() == "two" and run(1) == []
     for minute in (2, 3, 4):
         (source / "a").write_text(f"one {minute}")
         os.utime(source / "a", (2_000_000_000 + minute,) * 2)
