@@ -584,6 +584,13 @@ def test_mixing(docs, corpus):
     assert sorted(map(tuple, mixing.mix_documents(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
 
 
+def test_mixing_with_many_sources(docs, monkeypatch):
+    """The schedule is the same where the sources' table does not go to every task."""
+    few = sorted(map(tuple, mixing.mix_documents(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(tuple, mixing.mix_documents(docs).collect()), key=repr) == few
+
+
 def test_targets():
     assert mixing.targets([10, 100, 1000], [1, 2, 3], 3) == [30, 300, 780]
     assert mixing.targets([0, 0], [1, 2], 3) == [0, 0] and mixing.targets([], [], 3) == []
@@ -644,6 +651,8 @@ def test_hostile_tables(spark, hostile):
     assert quality.assess(hostile).count() == n and quality.assess(hostile).columns[-1] == "_quality"
     assert tokens.count_tokens(hostile, "byte_bpe_50k.json", names=("nb", "nt", "o")).count() == n
     assert mixing.mix_documents(hostile).count() == n
+    mixed = mixing.mixed_corpus(hostile)
+    assert mixed.columns == [*hostile.columns, "size", "source_size", "target", "_taken", "slots"] and mixed.count() == mixing.mix_documents(hostile).where("taken > 0").count()
     assert private.personal_data(hostile).count() == n and private.sanitise(hostile).columns == hostile.columns
     assert language.score(hostile, language.Model(rounds=1)).count() == n
     report = lines.line_report(hostile).collect()
