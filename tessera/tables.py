@@ -22,19 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-#: Spark's setting that deletes a query's shuffle files when the query has ended.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings for these writes: a query's shuffle files go when the query has ended, and a Python
+#: worker gets batches of a bounded size, however long the texts (a single longer row is a batch).
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 @contextmanager
 def cleaning(spark: SparkSession):
-    """Shuffle files of queries that end inside are deleted with them."""
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+    """SETTINGS hold for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
