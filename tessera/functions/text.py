@@ -105,9 +105,10 @@ def marked_block(text: Column) -> Column:
 
 
 def summary(text: Column, size: Column, most: int = 5 << 20) -> Column:
-    """A document's capitalised summary from its marked block; texts over ``most`` bytes have none."""
+    """A document's capitalised summary from its marked block; texts over ``most`` bytes and those that
+    are no valid UTF-8 have none."""
     block = trim_space(cleanup(F.replace(marked_block(text), F.lit("="), F.lit(""))))
-    return F.when(size <= most, capitalise(block)).otherwise("")
+    return F.when((size <= most) & F.is_valid_utf8(text), capitalise(block)).otherwise("")
 
 
 def file_name(path: Column) -> Column:

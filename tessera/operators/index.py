@@ -50,6 +50,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(added.select("path", (F.col("last") + F.col("n")).alias("file_id"), F.lit("added").alias("change")))
 
 
+def upsert_paths(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """(path, mtime, size, file_id, changed) of single files ``seen`` (path, mtime, size): known live paths
+    keep their ids and are changed if time or size differ; others get ids after the greatest ever
+    issued.  ``files`` is the files table (path, mtime, size, file_id, removed)."""
+    live = files.where("not removed").select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"), F.col("file_id").alias("old_id"))
+    both = seen.select("path", "mtime", "size").join(live, "path", "left")
+    last = files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("last"))
+    new = number_rows(both.where("old_id is null").select("path", "mtime", "size"), ["path"]).crossJoin(F.broadcast(last))  # one row
+    same = F.col("mtime").eqNullSafe(F.col("old_mtime")) & F.col("size").eqNullSafe(F.col("old_size"))
+    known = both.where("old_id is not null").select("path", "mtime", "size", F.col("old_id").cast("long").alias("file_id"), (~same).alias("changed"))
+    return known.unionByName(new.select("path", "mtime", "size", (F.col("last") + F.col("n")).cast("long").alias("file_id"), F.lit(True).alias("changed")))
+
+
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with n = 1, 2, ... in the given order (of columns without equal rows).
 

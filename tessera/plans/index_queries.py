@@ -200,6 +200,14 @@ def snapshot_diff(spark, sf):
     return index.snapshot_diff(old, new)
 
 
+@query(f"""WITH old AS ({_OLD}), new AS ({_NEW}), live AS (SELECT * FROM old WHERE NOT removed)
+    SELECT n.path, n.mtime, n.size, CAST(coalesce(l.file_id, (SELECT max(file_id) FROM old) + row_number() OVER (PARTITION BY l.file_id IS NULL ORDER BY n.path)) AS BIGINT) AS file_id,
+        l.file_id IS NULL OR n.mtime <> l.mtime OR n.size <> l.size AS changed FROM new n LEFT JOIN live l ON n.path = l.path""")
+def path_upsert(spark, sf):
+    _, old, new = _snapshots(spark, sf)
+    return index.upsert_paths(old, new)
+
+
 @query(f"""WITH {_DIFF}, {postings_sql("SELECT CAST(d.file_id AS BIGINT) AS file_id, t.text || CASE WHEN change = 'updated' THEN ' rewritten' ELSE '' END AS text FROM diff d JOIN documents t ON d.path = 'd' || t.doc_id WHERE change <> 'removed'")}
     SELECT word, file_id, cnt FROM post""")
 def refresh_equals_rebuild(spark, sf):

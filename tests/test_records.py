@@ -223,6 +223,18 @@ def test_backup_runs(spark, tmp_path):
         assert run(minute) == ["a"]
     assert sorted(p.name for p in root.iterdir()) == ["data_backup", "home_data_20240101_000300", "home_data_20240101_000400"]
     assert (root / "data_backup" / "a").read_text() == "one 4" and (root / "home_data_20240101_000300" / "a").read_text() == "one 3"
+    one = tmp_path / "home" / "data" / "a"
+    single = lambda minute: upkeep.run_file_backup(spark, str(one), str(root), datetime(2024, 2, 1, 0, minute), 1)
+    assert single(0) and not single(1) and (root / "data_a_base" / "a").read_text() == "one 4"
+    for minute in (2, 3):
+        os.utime(one, (2_100_000_000 + minute,) * 2)
+        assert single(minute)
+    assert [p.name for p in sorted(root.iterdir()) if p.name.startswith("data_a_2")] == ["data_a_20240201_000300"]
+    group = {"backup_dir": str(root), "period_sec": 1, "targets": [{"src": str(source), "max_versions": 2, "is_directory": True}, {"src": str(tmp_path / "gone"), "max_versions": 2, "is_directory": True}, {"src": str(source / "gone"), "max_versions": 2, "is_directory": False}]}
+    assert upkeep.run_backup_group(spark, group, datetime(2024, 3, 1)) == {str(source): 1, str(tmp_path / "gone"): 0, str(source / "gone"): 0}
+    for text in ("began", "ended"):
+        upkeep.write_log(str(tmp_path / "logs"), "backup", text, datetime(2024, 3, 2, 4, 5, 6))
+    assert (tmp_path / "logs/2024/03/02.03.2024/backup.log").read_text() == "02.03.2024 04:05:06 began\n02.03.2024 04:05:06 ended\n"
     jobs = tmp_path / "jobs.json"
     jobs.write_text('{"BackupJobs": [{"backup_dir": "d", "targets": [{"src": "s"}, {"src": "t", "max_versions": 2, "is_directory": true}]}, {"targets": [{"src": "x"}]}, {"backup_dir": "e", "targets": []}, 7]}')
     assert files.backup_jobs(str(jobs)) == [{"backup_dir": "d", "period_sec": 3600, "targets": [{"src": "s", "max_versions": 5, "is_directory": False}, {"src": "t", "max_versions": 2, "is_directory": True}]}]
