@@ -40,6 +40,10 @@ def cleaning(spark: SparkSession):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+#: Paths of the tables that stand, by application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     so a lost executor costs a re-read and no recomputation.  Shuffle files of the finished
@@ -50,6 +54,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
@@ -58,6 +63,16 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         if path := getattr(df, "_tessera_path", None):
             delete(df.sparkSession, path)
+            _WRITTEN.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete all tables of this application that still stand and return how many.  Results read tables
+    until they are written, so this is for the end of a session or after its last result."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 # ---------------------------------------------------------------- files of any store that Spark reads

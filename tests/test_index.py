@@ -184,3 +184,21 @@ def test_refresh_in_one_call(spark, tmp_path):
     assert sorted(ids) == [0, 1, 2, 3]  # an id is never given twice
     archive = spark.createDataFrame([("7", "x", 0)], "num string, name string, shard_prio int")
     assert engine.answer_journal(spark, folder, "boat", archive, "num", ["name"]).count() == 0
+
+
+def test_tables_go(spark, tmp_path):
+    import os
+
+    from tessera import tables
+
+    one, two = tables.materialise(spark.range(3), "x"), tables.materialise(spark.range(4), "y")
+    tables.discard(one)
+    assert two.count() == 4 and not os.path.exists(one._tessera_path)
+    written = set(tables._WRITTEN[spark.sparkContext.applicationId])
+    assert two._tessera_path in written and one._tessera_path not in written
+    before = {k: spark.conf.get(k, None) for k in tables.SETTINGS}
+    with pytest.raises(ZeroDivisionError), tables.cleaning(spark):
+        raise ZeroDivisionError
+    assert before == {k: spark.conf.get(k, None) for k in tables.SETTINGS}
+    tables.mark(spark, f"{tmp_path}/a/m")
+    assert tables.children(spark, str(tmp_path)) == ["a"] and tables.exists(spark, f"{tmp_path}/a/m") and tables.files_under(spark, str(tmp_path))[0][:2] == ("a/m", 0)
