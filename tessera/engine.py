@@ -68,6 +68,15 @@ def answer_journal(spark: SparkSession, folder: str, request: str, archive: Data
     return journal.result_json(journal.search_journal(hits, archive, key, order_by))
 
 
+def journal_json(archive: DataFrame, kind: int, condition: str, order_by: list[str], limit: int | None = None) -> DataFrame:
+    """(rank, json): rows of one journal that meet a condition, as result objects in the order of shards
+    and then ``order_by``.  A condition with a limit of its own is refused: the limit is a
+    parameter, and the text is parsed by Spark as one expression."""
+    found = journal.as_texts(journal.journal_query(archive, F.expr(condition), order_by, limit))
+    ranked = index.number_rows(found, ["shard_prio", *order_by])
+    return journal.result_json(journal.result_row(ranked, kind, F.col("n").cast("int").alias("rank")))
+
+
 def keep_fresh(spark: SparkSession, folder: str, config: EngineConfig, seconds: float, rounds: int | None = None) -> list[dict[str, int]]:
     """``refresh`` every so many seconds, for ever or for some rounds."""
     import itertools

@@ -56,10 +56,11 @@ def write_json(rows: DataFrame, path: str) -> None:
         out.write("]")
 
 
-def result_row(archive: DataFrame, kind: int) -> DataFrame:
-    """The columns of a journal result for one record type; plain journal rows are fully relevant."""
+def result_row(archive: DataFrame, kind: int, *more: Column) -> DataFrame:
+    """The columns of a journal result for one record type (and ``more``); plain journal rows are fully relevant."""
     f = FIELDS[kind]
     return archive.select(
+        *more,
         F.col("index").alias("num"), "ddata", F.col(f["from_to"]).alias("from_to"), (F.col("telno") if kind == INCOMING else F.col("index")).alias("tel_num"), "podpno", "datapodp",
         F.col(f["isp"]).alias("isp"), F.col(f["pril_name"]).alias("pril_name"), "kolpril", F.col(f["blank"]).alias("blank"), "gdesht", "podrazd",
         T.record_path(F.col("directto"), F.col("filename"), False).alias("path"), F.lit(kind).alias("type"), F.lit(1.0).cast("float").alias("rel"))

@@ -112,6 +112,23 @@ def test_journal_json(spark, tmp_path):
     assert json.loads((tmp_path / "j.json").read_text()) == [{"path": "c", "num": "", "rel": 1.0}, {"path": 'a "b"', "num": "7", "rel": 0.5}]
 
 
+def test_journal_by_condition(spark):
+    import json
+
+    from pyspark.errors import ParseException
+
+    from tessera import engine
+
+    names = ["index", "ddata", "ffrom", "telno", "podpno", "datapodp", "familia", "prilname1", "kolpril", "copyes2", "gdesht", "podrazd", "directto", "filename"]
+    shards = [spark.createDataFrame([(n, *names[1:-1], f"f{n}") for n in ids], ", ".join(f"`{c}` {'long' if c == 'index' else 'string'}" for c in names)) for ids in ([7, 5], [6, 9])]
+    rows = engine.journal_json(journal.union_shards(shards), journal.INCOMING, "index > 5 and ffrom like 'ff%'", ["index"], 2).orderBy("rank").collect()
+    got = [json.loads(r["json"]) for r in rows]
+    assert [r["rank"] for r in rows] == [1, 2] and [g["num"] for g in got] == ["7", "6"] and set(got[0]) == set(journal.RESULT)
+    assert (got[0]["isp"], got[0]["tel_num"], got[0]["path"], got[0]["type"], got[0]["rel"]) == ("familia", "telno", "directtof7", 0, 1.0)
+    with pytest.raises(ParseException):
+        engine.journal_json(journal.union_shards(shards), journal.INCOMING, "index > 5 limit 1", ["index"])
+
+
 def test_single_attachment(spark):
     record = spark.createDataFrame([("a;b",)], "prilname string")
     listing = spark.createDataFrame([("a", b"xyz")], "name string, content binary")
