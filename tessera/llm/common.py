@@ -40,15 +40,22 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def roughly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -> DataFrame:
+def roughly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 22) -> DataFrame:
     """Rows of ``df`` whose ``column`` falls into a hash bucket of some value in ``ids`` (one
     column): all that match and few others, before a join that shuffles wide rows.
 
-    What is broadcast is a set of at most 2**bits numbers, whatever the data's size.
+    What is broadcast is one row with a bit for each of 2**bits buckets (512 kB), whatever the
+    data's size.  Once most buckets are taken it spares nothing and costs a bit test a row; the
+    join behind it is the one that counts.
     """
     bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    taken = ids.select(bucket(F.col(ids.columns[0])).alias("bucket_")).distinct()
-    return df.join(F.broadcast(taken), bucket(df[column]) == taken["bucket_"], "left_semi")
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
+    taken = ids.select(bucket(F.col(ids.columns[0])).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit(F.col("b"))).alias("m"))
+    every = df.sparkSession.range(0, 1 << (bits - 6), 1, 1).join(taken, F.col("id") == F.col("w"), "left").select("id", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
+    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda s: s["m"]).alias("taken_"))
+    mine = bucket(df[column])
+    found = F.get(row["taken_"], F.shiftright(mine, 6).cast("int")).bitwiseAND(bit(mine)) != 0
+    return df.join(F.broadcast(row), found, "left_semi")
 
 
 # ---------------------------------------------------------------- Arrow batches
