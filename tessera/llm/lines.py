@@ -184,3 +184,20 @@ def dedup_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     both = both.withColumn(new, F.when(F.size(cut) > 0, F.array_join(F.transform(numbers, lambda i: F.get(cut, i)), "\n")))
     has_words = lambda c: F.col(c).rlike(r"[^\x20\x09-\x0D]")
     return both.where(F.col("text").isNull() | has_words(new) | ~has_words("text")).select(*(F.col(new).alias("text") if c == "text" else keyed[c] for c in docs.columns))
+
+
+def report_sql(how: Lines = Lines()) -> str:
+    """``line_report`` for DuckDB, over ``documents`` (doc_ids apart), with ``removed`` as joined text: all
+    lines in one order, and every line's words with one left out or one place open."""
+    word = r"[^\x20\x09-\x0D]+"
+    key = "md5(array_to_string(list_concat(ws[1:j], ws[j + {}:]), ' '))"
+    return f"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, no, ws, array_to_string(ws, ' ') AS k, row_number() OVER (ORDER BY doc_id, no) AS pos
+            FROM (SELECT doc_id, no, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM docs)) WHERE len(ws) >= {how.least}),
+        first AS (SELECT k, any_value(ws) AS ws, min(pos) AS pos FROM lines GROUP BY k),
+        keys AS (SELECT k, pos, j, {key.format(2)} AS rest FROM (SELECT *, unnest(range(0, len(ws))) AS j FROM first WHERE len(ws) >= {how.fuzzy})
+            UNION ALL SELECT k, pos, j, {key.format(1)} FROM (SELECT *, unnest(range(0, len(ws) + 1)) AS j FROM first WHERE len(ws) >= {how.fuzzy})),
+        gone AS (SELECT DISTINCT k FROM (SELECT k, pos, min(pos) OVER (PARTITION BY j, rest) AS lead FROM keys) WHERE lead < pos),
+        removed AS (SELECT l.doc_id, count(*) AS n, string_agg(CAST(l.no AS VARCHAR), ',' ORDER BY l.no) AS r FROM lines l JOIN first f ON l.k = f.k LEFT JOIN gone g ON l.k = g.k WHERE l.pos <> f.pos OR g.k IS NOT NULL GROUP BY l.doc_id)
+        SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(r, '') AS removed FROM docs LEFT JOIN removed USING (doc_id)"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in, word_stream
+from tessera.llm.common import LOWER, UPPER, chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in, word_stream
 from tessera.llm.components import connected_components
 
 
@@ -271,3 +271,19 @@ def drop_near_duplicates(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     """``docs`` with one document of each group, that of the least doc_id."""
     gone = near_duplicates(docs, near).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def near_sql(near: Near = NEAR) -> str:
+    """``near_duplicates`` for DuckDB, over ``documents`` (doc_ids apart): all pairs of texts that share a
+    shingle, and all that is reachable over links."""
+    k = near.words
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i + 1:i + {k}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - {k - 1}))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {near.percent} * (x.n + y.n - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, ways.b FROM reach r JOIN ways ON r.other = ways.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, r.c = d.doc_id AS kept
+        FROM documents d JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) r ON d.doc_id = r.node LEFT JOIN n ON d.doc_id = n.doc_id"""

@@ -128,3 +128,28 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Da
     """The rows of ``docs`` that pass, with its columns."""
     out = assess(docs, text, rules=rules)
     return out.where(F.col(f"`{out.columns[-1]}`.kept")).select(*(f"`{c}`" for c in docs.columns))
+
+
+def assess_sql(rules: Rules = Rules()) -> str:
+    """The same numbers and verdicts for DuckDB, over ``documents`` (doc_ids apart)."""
+    word = r"[^\x20\x09-\x0D]+"
+
+    def covered(n: int) -> str:
+        """Words (doc_id, i) inside n-grams that occur twice in their text."""
+        grams = f"SELECT doc_id, i, array_to_string(ws[i + 1:i + {n}], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {n - 1})) AS i FROM w WHERE len(ws) >= {n})"
+        return f"(SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS held FROM ({grams})) WHERE held > 1)"
+
+    chars = lambda n: f"c{n} AS (SELECT doc_id, sum(length(x)) AS n FROM u JOIN {covered(n)} USING (doc_id, i) GROUP BY doc_id)"
+    over = " OR ".join(f"100 * {x} > {most} * word_chars" for x, most in (("dup_line_chars", rules.dup_line_pct), ("dup_5gram_chars", rules.dup_5gram_pct), ("dup_7gram_chars", rules.dup_7gram_pct), ("dup_10gram_chars", rules.dup_10gram_pct)))
+    long = lambda x, name: f"CAST(coalesce({x}, 0) AS BIGINT) AS {name}"
+    return f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+        u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(0, len(ws))) AS i FROM w),
+        lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM w)),
+        again AS (SELECT doc_id, count(*) AS n, sum(list_sum(list_transform(regexp_extract_all(line, '{word}'), lambda x: length(x)))) AS c FROM lines WHERE nth > 1 AND regexp_matches(line, '{word}') GROUP BY doc_id),
+        c3 AS (SELECT doc_id, count(*) AS n FROM {covered(3)} GROUP BY doc_id), {chars(5)}, {chars(7)}, {chars(10)},
+        m AS (SELECT w.doc_id, {long("len(ws)", "n_words")}, {long("list_sum(list_transform(ws, lambda x: length(x)))", "word_chars")}, {long("length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))", "n_symbols")},
+            {long("again.n", "n_dup_lines")}, {long("c3.n", "n_repeat_words")}, {long("again.c", "dup_line_chars")}, {long("c5.n", "dup_5gram_chars")}, {long("c7.n", "dup_7gram_chars")}, {long("c10.n", "dup_10gram_chars")}
+            FROM w LEFT JOIN again USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id)),
+        f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_words_pct} * n_words AS base_failed FROM m)
+        SELECT *, NOT base_failed AND NOT (100 * n_symbols > {rules.symbols_pct} * n_words OR {over}) AS kept FROM f"""

@@ -26,7 +26,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(documents(spark, sf_dir))
+    return lines.line_report(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

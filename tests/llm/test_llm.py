@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, language, leaks, licenses, lines, mixing, near, passages, private, quality, queries, tokens
 from tessera.llm.common import free_name
+from tessera.llm.oracles import ORACLES
 
 RND = random.Random(5)
 VOCAB = ["".join(RND.choice("abdeilnorstuäé") for _ in range(RND.randint(2, 9))) for _ in range(900)]
@@ -708,3 +709,17 @@ def test_mixed_corpus_by_its_slots(spark, docs, corpus):
 
 def test_free_name():
     assert free_name(["Quality", "_quality"], "quality") == "__quality"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    cursor = con.execute(ORACLES[name])
+    columns = [d[0] for d in cursor.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
