@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +80,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """From now on Python workers of this session get batches of at most ``most`` bytes (or one row),
+    unless less is set: results that a caller writes later keep to it, too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key, None) or "")
+    if now is None or int(now[1]) > most:
+        spark.conf.set(key, str(most))
+
+
 def per_text(docs: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list[bytes]], list]], keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its ``keep`` columns) with further columns ``fields`` (DDL) computed from whole texts.
 
@@ -86,6 +96,7 @@ def per_text(docs: DataFrame, text: str, fields: str, make: Callable[[], Callabl
     texts of a chunk to a list of Arrow arrays or plain lists, one for each field.
     """
     kept = docs.columns if keep is None else keep
+    bound_batches(docs.sparkSession)
     source = docs.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{text}`"]))
     extra = docs.sparkSession.createDataFrame([], fields).schema
     from pyspark.sql.types import StructType

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, chunks, discard, materialise, mix, ngram_hashes, per_text, roughly_in, word_stream
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, joined_components
 
 
 @dataclass(frozen=True)
@@ -239,7 +239,7 @@ def links(sig: DataFrame, docs: DataFrame, near: Near = NEAR) -> tuple[DataFrame
     chief = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), "rep", "n", "p1", "p2", "p3", "p4")).alias("m")).select("key", "m.*")
     first = materialise(_pairs(members, chief, near), "pairs")
     good = confirm(first, docs, near)
-    parts = connected_components(good)
+    parts = materialise(connected_components(good), "parts")
 
     # What the stars left apart: members of different components under one key.
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
@@ -248,9 +248,8 @@ def links(sig: DataFrame, docs: DataFrame, near: Near = NEAR) -> tuple[DataFrame
     met = open_pairs(rest, docs, near)
     second = materialise(met.join(first, ["a", "b"], "left_anti"), "pairs")
     more = confirm(second, docs, near)
-    all_links = materialise(good.unionByName(more), "links")
-    comp = connected_components(all_links)
-    discard(members, first, good, rest, met, second, more, all_links)
+    comp = joined_components(parts, more)
+    discard(members, first, good, rest, met, second)
     return classes.select("h1", "h2", "n_shingles", "rep"), comp
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, discard, materialise, mix, ngram_hashes, roughly_in, word_stream
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, joined_components
 
 
 @dataclass(frozen=True)
@@ -217,10 +217,10 @@ def _open_pairs(members: DataFrame, how: Passages) -> DataFrame:
     return out
 
 
-def similar_classes(windows: DataFrame, docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
-    """Classes of paragraphs (id, held: how many, doc_id, pos, n: the earliest, f1, f2, keys) and verified
+def similar_classes(windows: DataFrame, docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of paragraphs (id, held: how many, doc_id, pos, n: the earliest, f1, f2, keys), verified
     links (a, b) of their ids, enough of them to connect all that any links between classes of one
-    key connect."""
+    key connect, and their components (node, component)."""
     paras = windows.where(F.size("keys") > 0).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "pos", "n", "keys")).alias("p"), F.count(F.lit(1)).alias("held"))
     classes = materialise(paras.select(F.monotonically_increasing_id().alias("id"), "held", "p.*", "f1", "f2"), "classes")
     keys = classes.select(F.explode("keys").alias("key"), "id", "held")
@@ -232,25 +232,24 @@ def similar_classes(windows: DataFrame, docs: DataFrame, how: Passages) -> tuple
     good = materialise(_verified(first, sets, how), "links")
 
     # What the stars left apart: classes of different components under one key.
-    parts = connected_components(good).withColumnRenamed("node", "id")
-    placed = members.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    parts = materialise(connected_components(good), "parts")
+    placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     still = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     rest = materialise(sets.join(placed.join(still, "key").select("id", "part").distinct(), "id"), "open")
     second = _open_pairs(rest, how)
-    links = materialise(good.unionByName(_verified(second.join(first, ["a", "b"], "left_anti"), sets, how)), "links")
-    discard(members, sets, first, good, rest, second)
-    return classes, links
+    more = materialise(_verified(second.join(first, ["a", "b"], "left_anti"), sets, how), "links")
+    discard(members, sets, first, rest, second)
+    return classes, good.unionByName(more), joined_components(parts, more)
 
 
 def _units(windows: DataFrame, docs: DataFrame, how: Passages) -> DataFrame:
     """(doc_id, pos, n, wide, u1, u2): places of paragraphs (wide) and windows whose unit, the class or
     its component's first class, may stand at several places."""
-    classes, links = similar_classes(windows, docs, how)
-    comp = connected_components(links)
+    classes, _, comp = similar_classes(windows, docs, how)
     name = classes.select("id", "f1", "f2")
     heads = name.select(F.col("id").alias("component"), F.col("f1").alias("u1"), F.col("f2").alias("u2"))
     renamed = materialise(comp.withColumnRenamed("node", "id").join(name, "id").join(heads, "component").select("f1", "f2", "u1", "u2"), "renamed")
-    discard(classes, links)
+    discard(classes)
     wide = (F.size("keys") > 0).alias("wide")
     slim = windows.select("doc_id", "pos", "n", wide, "f1", "f2")
     # Most words stand once in the corpus: only those that repeat or resemble others go on.

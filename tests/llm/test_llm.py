@@ -87,6 +87,13 @@ def test_components(spark):
     want = groups({x for e in edges for x in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
     assert got == want
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rnd = random.Random(2)
+    some, more = ([(rnd.randrange(300), rnd.randrange(300)) for _ in range(n)] for n in (120, 60))
+    parts = components.connected_components(spark.createDataFrame(some, "a long, b long"))
+    got = dict(components.joined_components(parts, spark.createDataFrame(more, "a long, b long")).collect())
+    edges = [e for e in some + more if e[0] != e[1]]
+    assert got == groups({x for e in edges for x in e}, edges)
+    assert dict(components.joined_components(parts, spark.createDataFrame([], "a long, b long")).collect()) == dict(parts.collect())
 
 
 def test_super_min_hash_estimates_similarity():
@@ -432,11 +439,13 @@ def test_similar_paragraphs_against_all_pairs(spark):
     assert len({frozenset(s) for s in sets.values()}) == len(sets)
     ids = sorted(sets)
     alike = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    classes, links = passages.similar_classes(windows, docs, how)
+    classes, links, comp = passages.similar_classes(windows, docs, how)
     name = {r["id"]: (r["f1"], r["f2"]) for r in classes.collect()}
     links = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in links.collect()]
     assert len(alike) > 300 and set(links) <= set(alike)
     found = groups(ids, links)
+    parts = {name[r["node"]]: name[r["component"]] for r in comp.collect()}
+    assert set(parts) == {x for e in links for x in e} and all((parts[a] == parts[b]) == (found[a] == found[b]) for a in parts for b in parts)
     assert sum(found[a] == found[b] for a, b in alike) >= 0.98 * len(alike)
     keys = {(r["f1"], r["f2"]): set(r["keys"]) for r in rows}
     meet = [(a, b) for a, b in alike if keys[a] & keys[b]]
