@@ -1,13 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 * Texts become word numbers once: words of the benchmark have their own, all others hash
-  buckets.  The same pass counts in how many texts each occurs (TF-IDF) and takes one window
-  of each of ``sample`` documents, picked by a hash of their text.
-* A randomised SVD of the TF-IDF passages of benchmark and sample together (both with the
-  same weight in all), with products summed over partitions and blocks of features, gives the
-  latent space: words that occur together in the corpus come to lie together, whether the
-  benchmark has them or not.  Items of more than two windows are cut into passages of a
-  window, overlapping by half.
+  buckets.  The same pass counts in how many texts each occurs (TF-IDF).
+* A randomised SVD of the TF-IDF passages of the benchmark and of all documents, cut into windows
+  one after the other, (both with the same weight in all), with products summed over partitions
+  and blocks of features, gives the latent space: words that occur together in the corpus come
+  to lie together, whether the benchmark has them or not.  Items of more than two windows are
+  cut into passages of a window, overlapping by half.
 * Every document is cut into windows of ``window`` words that overlap by half.  Each window, with
   all its words, is folded into the latent space and compared with all benchmark passages.
   Candidates have a cosine (by the window's whole TF-IDF norm) from ``cosine`` on, or hold
@@ -20,7 +19,7 @@
 * Items of fewer than ``least`` words are too short to be told from chance in running text; they
   are looked up by a hash of their words among all lines and whole texts.
 
-Texts are read once, their word numbers once again, and never shuffled.  An index holds up
+Texts are read once, their word numbers four times (three products and the search), and never shuffled.  An index holds up
 to ``items`` items, which bounds what is collected and broadcast; a larger benchmark is
 searched by several, one after the other.
 
@@ -50,7 +49,6 @@ class Leaks:
     over: int = 16
     buckets: int = 4096
     features: int = 16384
-    sample: int = 8192
     cosine: float = 0.3
     held: float = 0.3
     strong: float = 0.7
@@ -111,17 +109,15 @@ def in_row(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), heads) if len(heads) else np.zeros(0, np.uint64)
 
 
-DOCUMENT, PASSAGE, COUNT, SHORT = range(4)
+DOCUMENT, COUNT, SHORT = range(3)
 
 
 def coded(docs: DataFrame, vocabulary: np.ndarray, short: list[np.ndarray], how: Leaks) -> DataFrame:
-    """A table of (kind, doc_id, ids, f, n): of each text its word numbers; sampled passages; in how many
+    """A table of (kind, doc_id, ids, f, n): of each text its word numbers and how many (n); in how many
     texts (n) a number (f) occurs, by partition; and which (f) of the ``short`` items, as word
     hashes, is a line of the text or all of it."""
     size = len(vocabulary) + how.buckets
     word = np.uint16 if size <= 1 << 16 else np.uint32
-    share = min(1.0, how.sample / max(1, docs.count()))
-    upto = np.uint64(min(2**64 - 1, int(share * 2**64)))
     shorts = {}
     for i, x in enumerate(short):
         shorts.setdefault(int(in_row(x, np.zeros(1, np.int64))[0]), []).append(i)
@@ -148,20 +144,12 @@ def coded(docs: DataFrame, vocabulary: np.ndarray, short: list[np.ndarray], how:
             raw, wide = small.tobytes(), small.itemsize
             cells = [raw[(e - n) * wide : e * wide] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             total[-1] += len(texts)
-            windows = []
             for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
                 own = ids[e - n : e]
                 turn = np.arange(n)
                 mark[own] = turn  # of equal numbers the last place stays, so each counts once
                 total[own[mark[own] == turn]] += 1
-                if n:
-                    pick = mix(in_row(h[e - n : e], np.zeros(1, np.int64)))[0]
-                    if pick < upto:
-                        a = int(mix(np.array([pick]))[0] % np.uint64(max(1, n - how.window + 1)))
-                        windows.append(raw[(e - n + a) * wide : (e - n + min(n, a + how.window)) * wide])
             yield rows(DOCUMENT, doc_id, pa.array(cells, pa.binary()), np.zeros(len(cells), np.int64), sizes)
-            if windows:
-                yield rows(PASSAGE, None, pa.array(windows, pa.binary()), np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64))
             if len(known) and len(h):
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 found = set()
@@ -189,9 +177,11 @@ def frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-#: Features whose sums travel as one value, and in how many parts the (bounded) passages are summed:
-#: so many values meet for each slab.
-SLAB, PARTS = 512, 8
+#: Features whose sums travel as one value, and about how many words of the passages each part sums.
+SLAB, PART_WORDS = 512, 4 << 20
+#: Numbers (the most frequent) whose sums are products of small dense matrices, windows handled at
+#: once, and bytes of word numbers whose sums are in single precision.
+HOT, STEP, BLOCK = 256, 512, 1 << 19
 
 
 def _product(passages: DataFrame, rows: int, width: int, make) -> np.ndarray:
@@ -219,27 +209,65 @@ def _product(passages: DataFrame, rows: int, width: int, make) -> np.ndarray:
     return out
 
 
+def _add_windows(block: np.ndarray, flat: np.ndarray, sizes: np.ndarray, scales: np.ndarray, cut: int, rows: np.ndarray, weights: np.ndarray, hot: np.ndarray, often: np.ndarray) -> None:
+    """Adds to the row (of ``block``) of every word number, for each of its places in windows of ``cut`` words
+    of the texts, the window's sum of ``rows`` times (scale / norm)**2."""
+    counts = -(-sizes // cut)
+    if not counts.sum():
+        return
+    sums = _half_sums(flat, sizes, rows, cut)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes) - sizes)[text] + place * cut
+    sums *= (scales[text] ** 2 / np.add.reduceat(weights[flat].astype(np.float64) ** 2, starts)).astype(np.float32)[:, None]
+    ends = np.append(starts[1:], len(flat))
+    for a in range(0, len(sums), STEP):  # in pieces that stay in the processor's cache
+        z = min(a + STEP, len(sums))
+        some, ids = sums[a:z], flat[starts[a] : ends[z - 1]]
+        of = np.repeat(np.arange(z - a), ends[a:z] - starts[a:z])
+        frequent = hot[ids] >= 0
+        times = np.bincount(hot[ids[frequent]] * len(some) + of[frequent], minlength=len(often) * len(some))
+        block[often] += times.reshape(len(often), -1).astype(np.float32) @ some
+        # Of all others first places of every number, then second ones, and so on: no number twice at once.
+        ids, of = ids[~frequent], of[~frequent]
+        order = np.argsort(ids, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0)[: len(ids)])
+        turn = np.arange(len(ids)) - np.repeat(heads, np.diff(np.append(heads, len(ids))))
+        order, upto = order[np.argsort(turn, kind="stable")], np.cumsum(np.bincount(turn))
+        for x, y in zip(np.append(0, upto[:-1]), upto, strict=False):
+            block[ids[order[x:y]]] += some[of[order[x:y]]]
+
+
 def latent(passages: DataFrame, size: int, columns: np.ndarray, weights: np.ndarray, word, how: Leaks) -> np.ndarray:
-    """V: the latent directions (features x dims) of the TF-IDF matrix of ``passages`` (ids, scale)."""
+    """V: the latent directions (features x dims) of the TF-IDF matrix of the ``passages`` (ids, scale, cut),
+    each in windows of ``cut`` words."""
     sc = passages.sparkSession.sparkContext
     width = min(how.dims + how.over, size)
 
-    def rows_of(batches):
-        for batch in batches:
-            for raw, scale in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, word)
-                w = weights[ids].astype(np.float64)
-                norm = float(np.sqrt((w**2).sum()))
-                if norm:
-                    yield columns[ids], w * (scale / norm)
+    hot = np.full(len(weights), -1)
+    often = np.argsort(weights, kind="stable")[:HOT]
+    hot[often] = np.arange(len(often))
+    step = size if len(columns) == size else size - how.buckets  # so many numbers in a row have a column each
 
     def gram(table):  # the sum of A^T (A table)
-        shared = sc.broadcast(table.astype(np.float32))
+        shared = sc.broadcast((table.astype(np.float32), columns, weights, hot, often))
 
         def make(batches):
-            total, table = np.zeros((size, width)), shared.value
-            for cols, w in rows_of(batches):
-                np.add.at(total, cols, w[:, None] * (w @ table[cols])[None, :])
+            table, columns, weights, hot, often = shared.value
+            total = np.zeros((size, width))
+            rows = np.concatenate((table[columns] * weights[:, None], np.zeros((1, width), np.float32)))
+            for part, cells in chunks(batches, "ids", BLOCK):
+                scales, cuts = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("scale", "cut"))
+                sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // np.dtype(word).itemsize
+                flat = np.frombuffer(b"".join(cells), word).astype(np.int64)
+                block = np.zeros((len(columns), width), np.float32)
+                of = np.repeat(np.arange(len(cells)), sizes)
+                for cut in np.unique(cuts):
+                    mine = cuts == cut
+                    _add_windows(block, flat[mine[of]], sizes[mine], scales[mine], int(cut), rows, weights, hot, often)
+                block *= weights[:, None]
+                for x in range(0, len(columns), step):
+                    total[columns[x : x + step]] += block[x : x + step]
             return total
 
         out = _product(passages, size, width, make)
@@ -354,10 +382,12 @@ def _candidates(table: DataFrame, items: list[tuple[int, bytes]], item_ids: list
 
     cut = [(i, part) for i, x in enumerate(item_ids) for part in passages_of(x, how.window)]
     owner, parts = np.array([i for i, _ in cut]), [x for _, x in cut]
-    some = table.where(F.col("kind") == PASSAGE).select("ids").distinct()  # copies of a picked text count once
-    scale = float(np.sqrt(max(1, some.count()) / len(parts)))
-    wanted = spark.createDataFrame([(bytearray(x.astype(word).tobytes()), scale) for x in parts], "ids binary, scale double")
-    passages = some.withColumn("scale", F.lit(1.0)).unionByName(wanted).repartition(PARTS).sortWithinPartitions("ids", "scale")  # a bounded table
+    texts = table.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0))
+    facts = texts.agg(F.sum("n").alias("words"), F.sum(F.ceil(F.col("n") / how.window)).alias("windows")).first()
+    scale = float(np.sqrt(max(1, facts["windows"] or 0) / len(parts)))
+    wanted = spark.createDataFrame([(bytearray(x.astype(word).tobytes()), scale, 2 * how.window) for x in parts], "ids binary, scale double, cut int").coalesce(1)
+    few = max(2 * sc.defaultParallelism, -(-(facts["words"] or 0) // PART_WORDS))
+    passages = texts.select("ids", F.lit(1.0).alias("scale"), F.lit(how.window).alias("cut")).coalesce(few).unionByName(wanted)
     directions = latent(passages, own + how.buckets, columns, weights, word, how)
     space = np.concatenate((directions, np.zeros((1, directions.shape[1])))).astype(np.float32)
 

@@ -543,6 +543,41 @@ def test_latent_space_learns_from_the_corpus(spark, monkeypatch):
     assert np.median(same) > 0.3 + np.median(other)
 
 
+def test_latent_space_counts_every_window(spark, monkeypatch):
+    """Products of the passages, however they are cut and numbered, against one dense matrix of all of them."""
+    kept = {}
+
+    def product(passages, rows, width, make, add=leaks._product):
+        kept["products"] = [*kept.get("products", []), add(passages, rows, width, make)]
+        return kept["products"][-1]
+
+    def latent(passages, size, columns, weights, word, how, fit=leaks.latent):
+        kept["args"], kept["passages"] = (size, columns, weights, word), passages.collect()
+        return fit(passages, size, columns, weights, word, how)
+
+    monkeypatch.setattr(leaks, "_product", product)
+    monkeypatch.setattr(leaks, "latent", latent)
+    monkeypatch.setattr(leaks, "HOT", 7)
+    monkeypatch.setattr(leaks, "STEP", 5)
+    rnd = random.Random(91)
+    docs = [(i, " ".join(rnd.choice(VOCAB) for _ in range(rnd.choice([0, 1, 31, 32, 33, 90, 400])))) for i in range(300)]
+    items = [(i, prose(rnd.randint(20, 150), rnd)) for i in range(12)]
+    how = leaks.Leaks(dims=10, over=4, buckets=16, features=9)  # several words of the benchmark share a column
+    leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"), how).count()
+    size, columns, weights, word = kept["args"]
+    rows, of_docs = [], 0
+    for r in kept["passages"]:
+        ids = np.frombuffer(r["ids"], word)
+        of_docs += len(ids) * (r["scale"] == 1.0)
+        for at in range(0, len(ids), r["cut"]):
+            row, w = np.zeros(size), weights[ids[at : at + r["cut"]]].astype(float)
+            np.add.at(row, columns[ids[at : at + r["cut"]]], w * r["scale"] / np.linalg.norm(w))
+            rows.append(row)
+    assert of_docs == sum(len(t.split()) for _, t in docs)  # no document is left out
+    a, q = np.array(rows), np.random.default_rng(11).standard_normal((size, 14))
+    assert np.allclose(kept["products"][0], a.T @ (a @ q), rtol=1e-4, atol=1e-4 * np.abs(kept["products"][0]).max())
+
+
 def test_short_items_stand_alone(spark):
     items = spark.createDataFrame([(1, "Yes."), (2, "The river Po!"), (3, "of it all"), (4, "..."), (5, "yes")], "item_id long, text string")
     rows = [(1, "yes"), (2, "so the river po runs"), (3, "a line\n  The RIVER, Po\nmore"), (4, ""), (5, None), (6, "of it\nall"), (None, "YES"), (7, "...")]
