@@ -4,7 +4,7 @@
   buckets.  The same pass counts in how many texts each occurs (TF-IDF).
 * A randomised SVD of the TF-IDF passages of the benchmark and of all documents, cut into windows
   one after the other, (both with the same weight in all), with products summed over partitions
-  and blocks of features, gives the latent space: words that occur together in the corpus come
+  and blocks of features (of up to 8191 features: sums of all pairs, made once and multiplied), gives the latent space: words that occur together in the corpus come
   to lie together, whether the benchmark has them or not.  Items of more than two windows are
   cut into passages of a window, overlapping by half.
 * Every document is cut into windows of ``window`` words that overlap by half.  Each window, with
@@ -19,7 +19,8 @@
 * Items of fewer than ``least`` words are too short to be told from chance in running text; they
   are looked up by a hash of their words among all lines and whole texts.
 
-Texts are read once, their word numbers four times (three products and the search), and never shuffled.  An index holds up
+Texts are read once, their word numbers twice (pairs and search; four times with more features, for three
+products and the search), and never shuffled.  An index holds up
 to ``items`` items, which bounds what is collected and broadcast; a larger benchmark is
 searched by several, one after the other.
 
@@ -182,6 +183,10 @@ SLAB, PART_WORDS = 512, 4 << 20
 #: Numbers (the most frequent) whose sums are products of small dense matrices, windows handled at
 #: once, and bytes of word numbers whose sums are in single precision.
 HOT, STEP, BLOCK = 256, 512, 1 << 19
+#: Up to so many pairs of columns (8191 columns) the sums of all pairs are stored once, otherwise each product
+#: reads the passages; pairs that travel as one value, pairs (of the most frequent columns) summed in double
+#: precision, and about how many words of the passages each part takes.
+PAIRS, PAIR_SLAB, HOT_PAIRS, PAIR_WORDS = 1 << 25, 1 << 16, 512 * 513 // 2, 12 << 20
 
 
 def _product(passages: DataFrame, rows: int, width: int, make) -> np.ndarray:
@@ -238,6 +243,69 @@ def _add_windows(block: np.ndarray, flat: np.ndarray, sizes: np.ndarray, scales:
             block[ids[order[x:y]]] += some[of[order[x:y]]]
 
 
+def _add_pairs(pairs: np.ndarray, flat: np.ndarray, values: np.ndarray, sizes: np.ndarray, cut: int) -> None:
+    """Adds to ``pairs`` (of places, the larger one's row first) the products of ``values`` of all two words of each
+    window of ``cut`` words, over the window's norm squared, and half the square of each word."""
+    counts = -(-sizes // cut)
+    starts = np.repeat(np.cumsum(sizes) - sizes, counts) + cut * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    if not len(starts):
+        return
+    lens = np.diff(np.append(starts, len(flat)))
+    norms = np.sqrt(np.add.reduceat(values[0].astype(np.float64) ** 2, starts))
+    scaled = values[1] / np.repeat(norms, lens).astype(np.float32)
+    turn = np.arange(cut)[:, None]
+    for a in range(0, len(starts), 2 * STEP):  # in pieces that stay in the processor's cache
+        within = turn < lens[a : a + 2 * STEP]
+        at = np.where(within, starts[a : a + 2 * STEP] + turn, 0)
+        place, value = np.where(within, flat[at], 0), np.where(within, scaled[at], np.float32(0))
+        order = np.argsort(place, axis=0)
+        place, value = np.take_along_axis(place, order, 0), np.take_along_axis(value, order, 0)
+        row = place * (place + 1) // 2
+        np.add.at(pairs, (row + place).ravel(), (value * value / 2).ravel())
+        for k in range(1, cut):
+            np.add.at(pairs, (row[k:] + place[:-k]).ravel(), (value[k:] * value[:-k]).ravel())
+
+
+def _pair_sums(passages: DataFrame, size: int, places: np.ndarray, weights: np.ndarray, word) -> tuple[DataFrame, np.ndarray]:
+    """P, with A^T A = P + P^T, as a table (slab, sums) of its rows (up to the diagonal) by ``places`` of columns,
+    and the slabs' first rows.  ``places``: of every number, the most frequent first."""
+    sc = passages.sparkSession.sparkContext
+    ends = np.arange(size + 1, dtype=np.int64) * np.arange(1, size + 2) // 2
+    first = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], PAIR_SLAB)), size))
+    shared = sc.broadcast((places, weights))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        places, weights = shared.value
+        pairs, hot = np.zeros(ends[-1], np.float32), np.zeros(min(HOT_PAIRS, ends[-1]))
+        for part, cells in chunks(batches, "ids", BLOCK):
+            scales, cuts = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("scale", "cut"))
+            sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // np.dtype(word).itemsize
+            flat = np.frombuffer(b"".join(cells), word).astype(np.int64)
+            of = np.repeat(np.arange(len(cells)), sizes)
+            for cut in np.unique(cuts):
+                mine = cuts == cut
+                ids = flat[mine[of]]
+                _add_pairs(pairs, places[ids], (weights[ids], weights[ids] * np.repeat(scales[mine], sizes[mine]).astype(np.float32)), sizes[mine], int(cut))
+            hot += pairs[: len(hot)]
+            pairs[: len(hot)] = 0
+        pairs[: len(hot)] = hot
+        for a in range(0, len(first) - 1, 32):
+            some = range(a, min(a + 32, len(first) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()), pa.array([pairs[ends[first[i]] : ends[first[i + 1]]].tobytes() for i in some], pa.binary())], names=["slab", "part", "sums"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        for x in parts.sort_values("part")["sums"]:
+            total = total + np.frombuffer(x, np.float32).astype(np.float64)
+        return pd.DataFrame({"slab": parts["slab"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
+
+    out = materialise(passages.mapInArrow(run, "slab int, part int, sums binary").groupBy("slab").applyInPandas(add, "slab int, sums binary"), "pairs")
+    shared.destroy()
+    return out, first
+
+
 def latent(passages: DataFrame, size: int, columns: np.ndarray, weights: np.ndarray, word, how: Leaks) -> np.ndarray:
     """V: the latent directions (features x dims) of the TF-IDF matrix of the ``passages`` (ids, scale, cut),
     each in windows of ``cut`` words."""
@@ -248,8 +316,37 @@ def latent(passages: DataFrame, size: int, columns: np.ndarray, weights: np.ndar
     often = np.argsort(weights, kind="stable")[:HOT]
     hot[often] = np.arange(len(often))
     step = size if len(columns) == size else size - how.buckets  # so many numbers in a row have a column each
+    pairs = None
+    if size * (size + 1) // 2 <= PAIRS:
+        lightest = np.full(size, np.inf)
+        np.minimum.at(lightest, columns, weights)
+        place = np.empty(size, np.int64)
+        place[np.argsort(lightest, kind="stable")] = np.arange(size)
+        pairs, first = _pair_sums(passages, size, place[columns], weights, word)
+
+    def by_pairs(table):  # the same from the sums of all pairs
+        shared = sc.broadcast((table.astype(np.float32), place))
+
+        def make(batches):
+            table, place = shared.value
+            x, y = np.empty_like(table), np.zeros(table.shape)
+            x[place] = table
+            for batch in batches:
+                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    a, z = int(first[i]), int(first[i + 1])
+                    sums, some, at = np.frombuffer(raw, np.float32), np.zeros((z - a, z), np.float32), 0
+                    for r in range(a, z):
+                        some[r - a, : r + 1] = sums[at : at + r + 1]
+                        at += r + 1
+                    y[a:z] += some @ x[:z]
+                    y[:z] += some.T @ x[a:z]
+            return y[place]
+
+        out = _product(pairs.select("slab", "sums"), size, width, make)
+        shared.destroy()
+        return out
 
-    def gram(table):  # the sum of A^T (A table)
+    def by_passages(table):  # the sum of A^T (A table)
         shared = sc.broadcast((table.astype(np.float32), columns, weights, hot, often))
 
         def make(batches):
@@ -274,9 +371,11 @@ def latent(passages: DataFrame, size: int, columns: np.ndarray, weights: np.ndar
         shared.destroy()
         return out
 
+    gram = by_passages if pairs is None else by_pairs
     q = np.linalg.qr(gram(np.random.default_rng(11).standard_normal((size, width))))[0]
     q = np.linalg.qr(gram(q))[0]
     small = q.T @ gram(q)
+    discard(*([] if pairs is None else [pairs]))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-values)[: how.dims]
     top = top[values[top] > 1e-6 * max(values[top[0]], 1e-12)]
@@ -386,9 +485,10 @@ def _candidates(table: DataFrame, items: list[tuple[int, bytes]], item_ids: list
     facts = texts.agg(F.sum("n").alias("words"), F.sum(F.ceil(F.col("n") / how.window)).alias("windows")).first()
     scale = float(np.sqrt(max(1, facts["windows"] or 0) / len(parts)))
     wanted = spark.createDataFrame([(bytearray(x.astype(word).tobytes()), scale, 2 * how.window) for x in parts], "ids binary, scale double, cut int").coalesce(1)
-    few = max(2 * sc.defaultParallelism, -(-(facts["words"] or 0) // PART_WORDS))
-    passages = texts.select("ids", F.lit(1.0).alias("scale"), F.lit(how.window).alias("cut")).coalesce(few).unionByName(wanted)
-    directions = latent(passages, own + how.buckets, columns, weights, word, how)
+    columns_of = own + how.buckets
+    few = -(-max(1, facts["words"] or 0) // PAIR_WORDS) if columns_of * (columns_of + 1) // 2 <= PAIRS else max(2 * sc.defaultParallelism, -(-(facts["words"] or 0) // PART_WORDS))
+    passages = texts.select("ids", F.lit(1.0).alias("scale"), F.lit(how.window).alias("cut")).unionByName(wanted).coalesce(few)
+    directions = latent(passages, columns_of, columns, weights, word, how)
     space = np.concatenate((directions, np.zeros((1, directions.shape[1])))).astype(np.float32)
 
     flat, lens = np.concatenate(parts), np.array([len(x) for x in parts])

@@ -578,6 +578,38 @@ def test_latent_space_counts_every_window(spark, monkeypatch):
     assert np.allclose(kept["products"][0], a.T @ (a @ q), rtol=1e-4, atol=1e-4 * np.abs(kept["products"][0]).max())
 
 
+def test_latent_space_by_pairs_and_by_passages(spark, monkeypatch):
+    """Sums of all pairs, made once, and products that read all passages each give the same matrix: both are held against a dense one."""
+    rnd = random.Random(92)
+    columns, weights = np.array([0, 1, 2, 3, 4, 0, 1, 5, 6, 7, 8]), np.linspace(0.05, 3, 11).astype(np.float32)
+    texts = [np.array([rnd.choice([0, 0, 0, *range(11)]) for _ in range(rnd.choice([1, 7, 8, 9, 60]))], np.uint16) for _ in range(80)]
+    table = spark.createDataFrame([(bytearray(x.tobytes()), rnd.choice([1.0, 5.0]), rnd.choice([8, 16])) for x in texts], "ids binary, scale double, cut int").repartition(3).cache()
+    a = []
+    for r in table.collect():
+        ids = np.frombuffer(r["ids"], np.uint16)
+        for at in range(0, len(ids), r["cut"]):
+            row, w = np.zeros(9), weights[ids[at : at + r["cut"]]].astype(float)
+            np.add.at(row, columns[ids[at : at + r["cut"]]], w * r["scale"] / np.linalg.norm(w))
+            a.append(row)
+    whole, reads, made = np.array(a).T @ np.array(a), [], leaks._product
+
+    def product(passages, rows, width, make):
+        reads.append(passages.columns)
+        return made(passages, rows, width, make)
+
+    monkeypatch.setattr(leaks, "_product", product)
+    monkeypatch.setattr(leaks, "PAIR_SLAB", 7)
+    monkeypatch.setattr(leaks, "HOT_PAIRS", 10)
+    how = leaks.Leaks(dims=9, over=0, buckets=4, features=5)
+    for most, read in ((1 << 25, ["slab", "sums"]), (0, ["ids", "scale", "cut"])):
+        monkeypatch.setattr(leaks, "PAIRS", most)
+        reads.clear()
+        v = leaks.latent(table, 9, columns, weights, np.uint16, how)
+        assert reads == [read] * 3  # the passages are read once, or three times
+        values = np.diag(v.T @ whole @ v)
+        assert np.allclose((v * values) @ v.T, whole, rtol=1e-4, atol=1e-4 * whole.max())
+
+
 def test_short_items_stand_alone(spark):
     items = spark.createDataFrame([(1, "Yes."), (2, "The river Po!"), (3, "of it all"), (4, "..."), (5, "yes")], "item_id long, text string")
     rows = [(1, "yes"), (2, "so the river po runs"), (3, "a line\n  The RIVER, Po\nmore"), (4, ""), (5, None), (6, "of it\nall"), (None, "YES"), (7, "...")]
