@@ -146,7 +146,7 @@ def _in_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     """Longest first: order, lengths, and the sequences as columns of one padded array."""
     size = np.fromiter(map(len, sequences), np.int64, len(sequences))
     order = np.argsort(-size, kind="stable")
-    grid = np.zeros((int(size.max()), len(sequences)), np.uint8)
+    grid = np.zeros((int(size.max()), len(sequences)), sequences[0].dtype)
     for to, at in enumerate(order):
         grid[: size[at], to] = sequences[at]
     return order, size[order], grid
@@ -196,7 +196,7 @@ def expected(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
             wide[: len(back)] = back @ model.move.T
             beta = wide
     gamma, seen = np.concatenate(flat), np.concatenate(seen)
-    sums = np.stack([np.bincount(seen, gamma[:, i], CLASSES) for i in range(k)])
+    sums = np.stack([np.bincount(seen, gamma[:, i], model.emit.shape[1]) for i in range(k)])
     return flat[-1].sum(0), move * model.move, sums
 
 

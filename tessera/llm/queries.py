@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, leaks, licenses, lines, mixing, near, passages, private, quality, tokens
+from tessera.llm import leaks, licenses, lines, mixing, near, passages, private, quality, tokens, words
 from tessera.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,7 +34,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.score(documents(spark, sf_dir))
+    return words.score(documents(spark, sf_dir))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

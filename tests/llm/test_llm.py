@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import components, language, leaks, licenses, lines, mixing, near, passages, private, quality, queries, tokens
+from tessera.llm import common
+from tessera.llm import words as word_model
 from tessera.llm.common import free_name
 from tessera.llm.oracles import ORACLES
 
@@ -327,6 +329,63 @@ def test_scores_are_probabilities(docs, corpus, monkeypatch):
         assert math.isclose(got[i], total, rel_tol=1e-6)
 
 
+def test_states_emit_words(docs, corpus, monkeypatch):
+    """The query's model against Baum-Welch and the forward recursion over words by plain loops; words that end alike have emissions of their own."""
+    for block in (1 << 30, 3000):  # one block a partition, or several, so that words meet
+        monkeypatch.setattr(word_model, "BLOCK_BYTES", block)
+        monkeypatch.setattr(word_model, "BUCKET_BYTES", 4000)
+        got = {r["doc_id"]: r for r in word_model.score(docs, language.Model(states=2, rounds=2, segment=16)).collect()}
+        assert len(got) == len(corpus)
+        out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in corpus}
+        seqs = {i: [*words(t), None] for i, t, _ in corpus}
+        count = Counter(w for i, s in seqs.items() if not out[i] for w in s)
+        n, v = sum(count.values()), len(count)
+        per, extra = n + 0.1 * (v + 1), 0.1 * (v + 1)
+        p = lambda w: (count[w] + 0.1) / per
+        kinds = [None, *(w for w in count if w), b"never seen"]
+        hashes = common.byte_hashes(np.frombuffer(b"".join(kinds[1:-1]), np.uint8), np.arange(sum(map(len, kinds[1:-1]))), np.array([len(w) for w in kinds[1:-1]]))
+        emit = np.ones((len(kinds), 2))
+        emit[1:-1] = np.stack([0.5 + (common.mix(hashes + np.uint64(s + 1)) >> np.uint64(11)) / 2.0**53 for s in range(2)], 1)
+        emit *= np.array([[p(w)] for w in kinds])
+        emit /= emit.sum(0)
+        at = {w: i for i, w in enumerate(kinds)}
+        start, move = np.full(2, 0.5), np.array([[0.85, 0.15], [0.15, 0.85]])
+        for _ in range(2):
+            a0, moves, seen = np.zeros(2), np.zeros((2, 2)), np.zeros_like(emit)
+            for i, s in seqs.items():
+                for k in range(0, 0 if out[i] else len(s), 16):
+                    x = [at[w] for w in s[k : k + 16]]
+                    alpha, beta = [start * emit[x[0]]], [np.ones(2)]
+                    for y in x[1:]:
+                        alpha.append(alpha[-1] @ move * emit[y])
+                    for y in x[:0:-1]:
+                        beta.insert(0, move @ (emit[y] * beta[0]))
+                    whole = alpha[-1].sum()
+                    a0 += alpha[0] * beta[0] / whole
+                    for j, y in enumerate(x):
+                        seen[y] += alpha[j] * beta[j] / whole
+                        if j:
+                            moves += np.outer(alpha[j - 1], emit[y] * beta[j]) * move / whole
+            start, move = (a0 + 1e-3) / (a0 + 1e-3).sum(), (moves + 1e-3) / (moves + 1e-3).sum(1, keepdims=True)
+            emit = (seen + extra * np.array([[p(w)] for w in kinds])) / (seen.sum(0) + extra)
+            assert np.allclose(emit.sum(0), 1)
+        for i, s in seqs.items():
+            a, total = start, 0.0
+            for j, w in enumerate(s):
+                a = (a if j == 0 else a @ move) * emit[at.get(w, len(kinds) - 1)]
+                total, a = total + math.log10(a.sum()), a / a.sum()
+            assert math.isclose(got[i]["score"], total, rel_tol=1e-5)
+            assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (out[i], len(s), sum(count[w] > 0 for w in s), n)
+            assert math.isclose(got[i]["base_score"], sum(math.log10(p(w)) for w in s), rel_tol=1e-9)
+
+
+def test_word_model_on_odd_tables(spark, hostile):
+    got = word_model.score(hostile, language.Model(rounds=1)).collect()
+    old = language.score(hostile, language.Model(rounds=1)).collect()
+    same = lambda rows: sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows)
+    assert same(got) == same(old) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
 def test_hidden_markov_model():
     rnd = np.random.default_rng(1)
     truth = language.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.full((2, 256), 1e-6))
