@@ -25,9 +25,10 @@ from tessera.llm.common import chunks, discard, materialise, mix, word_stream
 from tessera.llm.language import Hmm, Model, expected, forward, held_out
 
 #: Bytes of text in a block (or one longer text), and of text a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 32 << 20
-#: Padded tokens that the recursions handle at once.
-GROUP = 1 << 18
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+#: Padded tokens that the recursions handle at once, and in how many parts, one after the other, blocks and
+#: buckets meet, so that a part of the tables is in shuffle files at a time.
+GROUP, PARTS = 1 << 17, 4
 
 
 def blocks(docs: DataFrame, bits: int) -> DataFrame:
@@ -130,12 +131,21 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     coded = materialise(blocks(docs, bits), "blocks")
     texts = coded.where("bucket = -1").select("block", "doc_ids", "held", "sizes", "seq")
 
-    def meeting(rows: DataFrame, extra: float = 0.0, per: float = 1.0) -> DataFrame:
-        return materialise(rows.groupBy("bucket").applyInArrow(lambda t: _meeting(t, k, add, extra, per), MEET), "emissions")
+    def meeting(rows: DataFrame, extra: float = 0.0, per: float = 1.0) -> list[DataFrame]:
+        own = lambda p: rows.where(F.col("bucket") % PARTS == p)
+        return [materialise(own(p).groupBy("bucket").applyInArrow(lambda t: _meeting(t, k, add, extra, per), MEET), "emissions") for p in range(PARTS)]
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
 
     now = meeting(coded.where("bucket >= 0").select("block", "bucket", "hashes", "counts"))
+    texts = materialise(texts, "texts")
+    discard(coded)  # hashes are of no more use
     total = np.zeros(2 + k)
-    for r in now.where("sums is not null").select("sums").collect():  # a row a bucket, 4096 at most
+    for r in union(now).where("sums is not null").select("sums").collect():  # a row a bucket, 4096 at most
         total += np.frombuffer(r["sums"])
     n, v = int(total[0]) + n_train, int(total[1]) + (n_train > 0)
     per, extra = n + add * (v + 1), add * (v + 1)
@@ -154,7 +164,7 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         return pa.table([left.column("block"), whole(known), whole(sums.astype(float))], names=["block", "known", "base"])
 
     by = lambda rows, right: rows.groupBy("block").cogroup(right.groupBy("block"))
-    scores = materialise(by(texts, now.select("block", "bucket", "counts")).applyInArrow(base, "block long, known array<long>, base array<double>"), "base")
+    scores = materialise(by(texts, union(now).select("block", "bucket", "counts")).applyInArrow(base, "block long, known array<long>, base array<double>"), "base")
 
     for _ in range(model.rounds):
 
@@ -177,8 +187,11 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
             m, block = len(places), left.column("block").to_pylist()
             return pa.table([pa.array(block * (m + 1), pa.int64()), pa.array([*right.column("bucket").to_pylist(), -1], pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*cells, few], pa.binary())], names=["block", "bucket", "place", "numbers"])
 
-        counted = materialise(by(texts, now.select("block", "bucket", "place", "numbers")).applyInArrow(sums, "block long, bucket int, place binary, numbers binary"), "expected")
-        discard(now)
+        part = lambda rows, p: rows.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == p)
+        emissions = union(now).select("block", "bucket", "place", "numbers")
+        tables = [materialise(by(part(texts, p), part(emissions, p)).applyInArrow(sums, "block long, bucket int, place binary, numbers binary"), "expected") for p in range(PARTS)]
+        counted = union(tables)
+        discard(*now)
 
         def together(t: pa.Table) -> pa.Table:
             return pa.table([pa.array([sum(np.frombuffer(x) for x in t.column("numbers").to_pylist()).tobytes()], pa.binary())], names=["numbers"])
@@ -188,7 +201,7 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         for r in parts.groupBy("part").applyInArrow(together, "numbers binary").collect():  # 64 rows at most
             few += np.frombuffer(r["numbers"])
         now = meeting(counted.where("bucket >= 0"), extra, per)
-        discard(counted)
+        discard(*tables)
         start, move, mass, ended = few[:k] + 1e-3, few[k : k + k * k].reshape(k, k) + 1e-3, few[-2 * k : -k], few[-k:]
         norm = mass + (extra if n_train else extra * (per + add) / per)  # with no training text the end is not among the V
         hmm = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), ((ended + extra * (n_train + add) / per) / norm)[:, None])
@@ -202,5 +215,5 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
             out[group] = forward(own, [seqs[i] for i in group])
         return pa.table([doc_ids, pa.array(held), pa.array(sizes + 1), left.column("known").combine_chunks().flatten(), left.column("base").combine_chunks().flatten(), pa.array(out)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = by(texts.join(scores, "block"), now.select("block", "bucket", "numbers")).applyInArrow(likelihood, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = by(texts.join(scores, "block"), union(now).select("block", "bucket", "numbers")).applyInArrow(likelihood, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
