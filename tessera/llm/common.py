@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.tables import cleaning, discard, materialise, shared_folder  # noqa: F401
+from tessera.tables import BATCH_BYTES, cleaning, discard, materialise, shared_folder  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these (bytes.split() splits at the same six).
@@ -80,7 +82,25 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
-def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep in this process goes back to the system.  Python
+    workers stay for later tasks and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` (for mapInArrow), which gives free memory back when its partition is done."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return then
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """From now on Python workers of this session get batches of at most ``most`` bytes (or one row),
     unless less is set: results that a caller writes later keep to it, too."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -109,7 +129,7 @@ def per_text(docs: DataFrame, text: str, fields: str, make: Callable[[], Callabl
             own = [part.column(part.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, *(x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 # ---------------------------------------------------------------- 64-bit mixing

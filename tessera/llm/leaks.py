@@ -35,12 +35,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_hashes, chunks, cleaning, discard, free_name, materialise, mix, word_bounds
+from tessera.llm.common import byte_hashes, chunks, cleaning, discard, free_name, lean, materialise, mix, word_bounds
 
 
 @dataclass(frozen=True)
@@ -167,7 +166,7 @@ def coded(docs: DataFrame, vocabulary: np.ndarray, short: list[np.ndarray], how:
         if len(some) and kind_of_id is not None:
             yield rows(COUNT, None, None, some, total[some])
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {id_type}, ids binary, f long, n long"), "coded")
+    return materialise(docs.select("doc_id", "text").mapInArrow(lean(run), f"kind byte, doc_id {id_type}, ids binary, f long, n long"), "coded")
 
 
 def frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -189,6 +188,14 @@ HOT, STEP, BLOCK = 256, 512, 1 << 19
 PAIRS, PAIR_SLAB, HOT_PAIRS, PAIR_WORDS = 1 << 25, 1 << 16, 512 * 513 // 2, 12 << 20
 
 
+def _added(parts: pa.Table) -> pa.Table:
+    """The sum of one slab's arrays, in double precision and in the order of their parts, one after the other."""
+    parts, total = parts.sort_by("part"), 0.0
+    for x in parts.column("sums"):
+        total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+    return pa.table([parts.column("slab").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slab", "sums"])
+
+
 def _product(passages: DataFrame, rows: int, width: int, make) -> np.ndarray:
     """The sum over partitions of arrays (rows x width), added on executors slab by slab (in double
     precision; single precision travels)."""
@@ -200,11 +207,7 @@ def _product(passages: DataFrame, rows: int, width: int, make) -> np.ndarray:
         slabs = range(0, rows, SLAB)
         yield pa.RecordBatch.from_arrays([pa.array([a // SLAB for a in slabs], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(slabs), pa.int32()), pa.array([total[a : a + SLAB].astype(np.float32).tobytes() for a in slabs], pa.binary())], names=["slab", "part", "sums"])
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in parts.sort_values("part")["sums"])
-        return pd.DataFrame({"slab": parts["slab"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
-
-    got = passages.mapInArrow(run, "slab int, part int, sums binary").groupBy("slab").applyInPandas(add, "slab int, sums binary")
+    got = passages.mapInArrow(lean(run), "slab int, part int, sums binary").groupBy("slab").applyInArrow(_added, "slab int, sums binary")
     out = np.zeros((rows, width))
     with cleaning(passages.sparkSession):
         slabs = got.collect()  # the model itself: features x dimensions
@@ -295,13 +298,7 @@ def _pair_sums(passages: DataFrame, size: int, places: np.ndarray, weights: np.n
             some = range(a, min(a + 32, len(first) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()), pa.array([pairs[ends[first[i]] : ends[first[i + 1]]].tobytes() for i in some], pa.binary())], names=["slab", "part", "sums"])
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        for x in parts.sort_values("part")["sums"]:
-            total = total + np.frombuffer(x, np.float32).astype(np.float64)
-        return pd.DataFrame({"slab": parts["slab"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
-
-    out = materialise(passages.mapInArrow(run, "slab int, part int, sums binary").groupBy("slab").applyInPandas(add, "slab int, sums binary"), "pairs")
+    out = materialise(passages.mapInArrow(lean(run), "slab int, part int, sums binary").groupBy("slab").applyInArrow(_added, "slab int, sums binary"), "pairs")
     shared.destroy()
     return out, first
 
@@ -342,7 +339,8 @@ def latent(passages: DataFrame, size: int, columns: np.ndarray, weights: np.ndar
                     y[:z] += some.T @ x[a:z]
             return y[place]
 
-        out = _product(pairs.select("slab", "sums"), size, width, make)
+        # Every part sends a whole product, so parts are as many as tasks run at a time, however finely the table is dealt.
+        out = _product(pairs.select("slab", "sums").coalesce(sc.defaultParallelism), size, width, make)
         shared.destroy()
         return out
 
@@ -404,11 +402,14 @@ def heaviest_common(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> f
 def confirmed(item: np.ndarray, answer: int, text: np.ndarray, weight: np.ndarray, how: Leaks) -> float:
     """The share of the item's weight that stands in order in some stretch of ``text``, if it is a leak, else 0."""
     whole = float(weight[item].sum())
-    span, top = 2 * len(item) + how.window, 0.0
+    span, top, seen = 2 * len(item) + how.window, 0.0, np.zeros(len(weight), bool)
     for a in range(0, max(1, len(text) - len(item)), len(item) + how.window // 2):
         part = text[a : a + span]
         # Words that are not there in any order are in no common subsequence.
-        if float(weight[item[np.isin(item, part)]].sum()) < 0.9999 * how.weak * whole:
+        seen[part] = True
+        there = float(weight[item[seen[item]]].sum())
+        seen[part] = False
+        if there < 0.9999 * how.weak * whole:
             continue
         share = heaviest_common(item, part, weight) / whole
         if how.weak <= share < how.strong:
@@ -445,6 +446,39 @@ def _half_sums(cols: np.ndarray, sizes: np.ndarray, table: np.ndarray, half: int
     return out
 
 
+#: Windows and passages that are compared at once.
+WINDOWS, QUERIES = 512, 2048
+
+
+def _stretches(doc: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of windows by text and item, where those with at most one window between them are one."""
+    order = np.lexsort((first, item, doc))
+    doc, item, first, last = (x[order] for x in (doc, item, first, last))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 2)
+    heads = np.flatnonzero(new)
+    return doc[heads], item[heads], first[heads], last[np.append(heads[1:], len(doc))[: len(heads)] - 1]
+
+
+def near_stretches(windows: np.ndarray, lengths: np.ndarray, queries: np.ndarray, enough: np.ndarray, owner: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, first window, last window) of the stretches of windows (each of the text ``of``) whose product with some
+    passage of the item reaches the window's length or what is ``enough``.
+
+    Where every window is near every passage, pairs of a few windows are held at a time, then their stretches only.
+    """
+    found = [(np.zeros(0, np.int64),) * 4]
+    kinds = int(owner.max()) + 1
+    for w in range(0, len(windows), WINDOWS):
+        some, least = windows[w : w + WINDOWS], lengths[w : w + WINDOWS, None]
+        hits = []
+        for a in range(0, len(queries), QUERIES):
+            win, q = np.nonzero(some @ queries[a : a + QUERIES].T >= np.minimum(least, enough[a : a + QUERIES]))
+            hits.append(np.unique(win * kinds + owner[a + q]))
+        win, item = np.divmod(np.unique(np.concatenate(hits)), kinds)
+        found.append(_stretches(of[w + win], item, w + win, w + win))
+    return _stretches(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def _search(docs: DataFrame, items: list[tuple[int, bytes]], item_type: str, how: Leaks) -> DataFrame:
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -522,22 +556,8 @@ def _candidates(table: DataFrame, items: list[tuple[int, bytes]], item_ids: list
                 more = np.flatnonzero(of[1:] == of[:-1])
                 joined[more] += sums[more + 1]
                 both[more] += norm[more + 1]
-                lengths = how.cosine * np.sqrt(both)
-                near = []
-                for a in range(0, len(queries), 2048):
-                    win, q = np.nonzero(joined @ queries[a : a + 2048].T >= np.minimum(lengths[:, None], enough[a : a + 2048]))
-                    near.append(win * len(item_words) + owner[a + q])
-                win, item = np.divmod(np.unique(np.concatenate(near)), len(item_words))
-                order = np.lexsort((win, item, of[win]))
-                win, item = win[order], item[order]
-                doc = of[win]
-                # Neighbouring windows of one text and item are one stretch.
-                new = np.ones(len(win), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (win[1:] > win[:-1] + 2)
-                heads = np.flatnonzero(new)
-                for a, z in zip(heads, np.append(heads[1:], len(win))[: len(heads)], strict=True):
-                    d, i = int(doc[a]), int(item[a])
-                    lo, hi = int(place[win[a]]) * half, int(place[win[z - 1]]) * half + how.window
+                for d, i, a, z in zip(*map(np.ndarray.tolist, near_stretches(joined, how.cosine * np.sqrt(both), queries, enough, owner, of)), strict=True):
+                    lo, hi = int(place[a]) * half, int(place[z]) * half + how.window
                     reach = len(item_words[i])
                     got = confirmed(item_words[i], answer[i], flat[base[d] + max(0, lo - reach) : base[d] + min(int(sizes[d]), hi + reach)], weight, how)
                     if got:
@@ -550,7 +570,7 @@ def _candidates(table: DataFrame, items: list[tuple[int, bytes]], item_ids: list
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_type = to_arrow_type(spark.createDataFrame([], schema).schema["item_id"].dataType)
-    hits = materialise(table.where(F.col("kind") == DOCUMENT).select("doc_id", "ids").mapInArrow(run, schema), "hits")
+    hits = materialise(table.where(F.col("kind") == DOCUMENT).select("doc_id", "ids").mapInArrow(lean(run), schema), "hits")
     model.destroy()
     return hits
 

@@ -669,6 +669,36 @@ def test_latent_space_by_pairs_and_by_passages(spark, monkeypatch):
         assert np.allclose((v * values) @ v.T, whole, rtol=1e-4, atol=1e-4 * whole.max())
 
 
+def test_windows_near_every_passage_take_little_memory(monkeypatch):
+    """Stretches of near windows against plain loops; where all windows are near all passages, no matrix of all of them is made."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(93)
+    of, owner = np.sort(rnd.integers(0, 9, 120)), rnd.integers(0, 5, 23)
+    owner[:5] = range(5)
+    windows, queries = rnd.standard_normal((120, 6)).astype(np.float32), rnd.standard_normal((23, 6)).astype(np.float32)
+    lengths, enough = rnd.uniform(1, 6, 120).astype(np.float32), rnd.uniform(1, 6, 23).astype(np.float32)
+    hits = sorted({(int(of[w]), int(owner[q]), w) for w in range(120) for q in range(23) if windows[w] @ queries[q] >= min(lengths[w], enough[q])})
+    want = []
+    for d, i, w in hits:
+        if want and want[-1][:2] == [d, i] and w <= want[-1][3] + 2:
+            want[-1][3] = w
+        else:
+            want.append([d, i, w, w])
+    monkeypatch.setattr(leaks, "WINDOWS", 7)
+    monkeypatch.setattr(leaks, "QUERIES", 4)
+    assert [list(x) for x in zip(*map(np.ndarray.tolist, leaks.near_stretches(windows, lengths, queries, enough, owner, of)), strict=True)] == want
+    monkeypatch.undo()
+
+    of, owner = np.repeat(np.arange(64), 128), np.arange(1000)
+    tracemalloc.start()
+    d, i, a, z = leaks.near_stretches(np.ones((8192, 6), np.float32), np.ones(8192, np.float32), np.ones((1000, 6), np.float32), np.ones(1000, np.float32), owner, of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(d) == 64 * 1000 and (z - a == 127).all()
+    assert peak < 100 << 20  # the matrix of all pairs and their numbers take over 500 MB
+
+
 def test_short_items_stand_alone(spark):
     items = spark.createDataFrame([(1, "Yes."), (2, "The river Po!"), (3, "of it all"), (4, "..."), (5, "yes")], "item_id long, text string")
     rows = [(1, "yes"), (2, "so the river po runs"), (3, "a line\n  The RIVER, Po\nmore"), (4, ""), (5, None), (6, "of it\nall"), (None, "YES"), (7, "...")]
