@@ -329,6 +329,30 @@ def test_scores_are_probabilities(docs, corpus, monkeypatch):
         assert math.isclose(got[i], total, rel_tol=1e-6)
 
 
+def test_workers_get_small_batches(spark):
+    """Batches to Python workers are of a few megabytes, however long the texts."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = [r["n"] for r in common.materialise(texts.mapInArrow(common.lean(sizes), "n long"), "sizes").collect()]
+    assert sum(got) >= 9000 * 2000 and max(got) < 6 << 20
+
+
+def test_rows_of_word_places_are_small(spark):
+    """A block of many texts is written in rows of bounded size that hold every text once, in order."""
+    rnd = random.Random(94)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(VOCAB, k=3000)), i % 10 == 0) for i in range(200)], "doc_id long, text string, held_out boolean").coalesce(1)
+    rows = word_model.blocks(docs, 1).where("bucket < 0").orderBy(F.desc("bucket")).collect()
+    assert len({r["block"] for r in rows}) == 1 and [r["bucket"] for r in rows] == [-1 - i for i in range(len(rows))]
+    assert max(len(r["seq"]) for r in rows) < 1 << 20 < sum(len(r["seq"]) for r in rows)
+    assert [i for r in rows for i in r["doc_ids"]] == list(range(200)) and {n for r in rows for n in r["sizes"]} == {3000}
+    assert all(len(r["seq"]) == 4 * sum(r["sizes"]) for r in rows)
+
+
 def test_states_emit_words(docs, corpus, monkeypatch):
     """The query's model against Baum-Welch and the forward recursion over words by plain loops; words that end alike have emissions of their own."""
     for block in (1 << 30, 3000):  # one block a partition, or several, so that words meet
