@@ -18,22 +18,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, discard, materialise, mix, word_stream
+from tessera.llm.common import chunks, discard, give_back, lean, materialise, mix, word_stream
 from tessera.llm.language import Hmm, Model, expected, forward, held_out
 
-#: Bytes of text in a block (or one longer text), and of text a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+#: Bytes of text in a block (or one longer text), and of text a bucket; and in one row of a block (or one longer text), so that no
+#: row with word places takes more than a few hundred kilobytes of a JVM, which handles each several times.
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES = 16 << 20, 32 << 20, 512 << 10
 #: Padded tokens that the recursions handle at once, and in how many parts, one after the other, blocks and
 #: buckets meet, so that a part of the tables is in shuffle files at a time.
 GROUP, PARTS = 1 << 17, 4
 
 
 def blocks(docs: DataFrame, bits: int) -> DataFrame:
-    """(block, bucket, doc_ids, held, sizes, seq, hashes, counts): of every block one row (bucket -1) with its texts, and one
-    for each bucket of its dictionary with the words' hashes and how often its training texts have them."""
+    """(block, bucket, doc_ids, held, sizes, seq, hashes, counts): of every block rows with its texts, piece by piece (bucket -1, -2
+    and so on), and one for each bucket of its dictionary with the words' hashes and how often its training texts have them."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["block", "bucket", "doc_ids", "held", "sizes", "seq", "hashes", "counts"]
 
@@ -43,13 +45,13 @@ def blocks(docs: DataFrame, bits: int) -> DataFrame:
         block, parts, held_bytes = TaskContext.get().partitionId() << 32, [], 0
 
         def done():
-            ids = pa.concat_arrays([p[0] for p in parts])
-            held, sizes = np.concatenate([p[1] for p in parts]), np.concatenate([p[3] for p in parts])
             known, seq = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-            training = np.repeat(~held, sizes)
+            seq = seq.astype(np.int32)
+            training = np.concatenate([np.repeat(~held, sizes) for _, held, _, sizes in parts])
             counts = np.bincount(seq[training], minlength=len(known)).astype(np.int64)
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), whole(ids), whole(pa.array(held)), whole(pa.array(sizes)), pa.array([seq.astype(np.int32).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=names)
+            for i, (own, (ids, held, _, sizes)) in enumerate(zip(np.split(seq, np.cumsum([len(p[2]) for p in parts])[:-1]), parts, strict=True)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1 - i], pa.int32()), whole(ids), whole(pa.array(held)), whole(pa.array(sizes)), pa.array([own.tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=names)
             bucket = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), np.int64)
             ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             some = [b for b in range(1 << bits) if ends[b] < ends[b + 1]]
@@ -57,7 +59,7 @@ def blocks(docs: DataFrame, bits: int) -> DataFrame:
             cells = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (known, counts)]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), *none, *cells], names=names)
 
-        for part, texts in chunks(batches, "text"):
+        for part, texts in chunks(batches, "text", PIECE_BYTES):
             words, sizes = word_stream(texts)
             parts.append((part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), words, sizes.astype(np.int64)))
             held_bytes += sum(map(len, texts))
@@ -67,7 +69,7 @@ def blocks(docs: DataFrame, bits: int) -> DataFrame:
         if parts:
             yield from done()
 
-    return docs.mapInArrow(run, f"block long, bucket int, doc_ids array<{id_type}>, held array<boolean>, sizes array<long>, seq binary, hashes binary, counts binary")
+    return docs.mapInArrow(lean(run), f"block long, bucket int, doc_ids array<{id_type}>, held array<boolean>, sizes array<long>, seq binary, hashes binary, counts binary")
 
 
 MEET = "block long, bucket int, place binary, counts binary, numbers binary, sums binary"
@@ -98,11 +100,29 @@ def _meeting(table: pa.Table, k: int, add: float, extra: float, per: float) -> p
     return pa.table([table.column("block"), table.column("bucket"), pa.array(places, pa.binary()), pa.array(counts, pa.binary()), pa.array(cells, pa.binary()), pa.array(sums, pa.binary())], names=["block", "bucket", "place", "counts", "numbers", "sums"])
 
 
-def _sequences(left: pa.Table) -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a block's row: doc_ids, held, and word places of each text (without its end)."""
-    row = {c: left.column(c).combine_chunks() for c in ("doc_ids", "held", "sizes", "seq")}
-    sizes = row["sizes"].flatten().to_numpy()
-    return row["doc_ids"].flatten(), row["held"].flatten().to_numpy(zero_copy_only=False), np.split(np.frombuffer(row["seq"][0].as_py(), np.int32), np.cumsum(sizes)[:-1]), sizes
+def _sequences(left: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a block's rows: the rows piece by piece, and of their texts doc_ids, held, word places of each text (without its end), and sizes."""
+    left = left.sort_by([("bucket", "descending")])
+    flat = {c: pa.concat_arrays([x.flatten() for x in left.column(c).chunks]) for c in ("doc_ids", "held", "sizes")}
+    sizes = flat["sizes"].to_numpy()
+    places = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in left.column("seq")])
+    return left, flat["doc_ids"], flat["held"].to_numpy(zero_copy_only=False), np.split(places, np.cumsum(sizes)[:-1]), sizes
+
+
+def spared(make, tables: int = 2):
+    """``make`` (of a group's one or two tables), after which free memory goes back to the system."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = make(table)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = make(left, right)
+        give_back()
+        return out
+
+    return one if tables == 1 else two
 
 
 def _grouped(seqs: list[np.ndarray]):
@@ -129,11 +149,11 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     bits = min(12, max(0, ((facts["bytes"] or 0) // BUCKET_BYTES).bit_length()))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     coded = materialise(blocks(docs, bits), "blocks")
-    texts = coded.where("bucket = -1").select("block", "doc_ids", "held", "sizes", "seq")
+    texts = coded.where("bucket < 0").select("block", "bucket", "doc_ids", "held", "sizes", "seq")
 
     def meeting(rows: DataFrame, extra: float = 0.0, per: float = 1.0) -> list[DataFrame]:
         own = lambda p: rows.where(F.col("bucket") % PARTS == p)
-        return [materialise(own(p).groupBy("bucket").applyInArrow(lambda t: _meeting(t, k, add, extra, per), MEET), "emissions") for p in range(PARTS)]
+        return [materialise(own(p).groupBy("bucket").applyInArrow(spared(lambda t: _meeting(t, k, add, extra, per), 1), MEET), "emissions") for p in range(PARTS)]
 
     def union(tables: list[DataFrame]) -> DataFrame:
         out = tables[0]
@@ -154,22 +174,22 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
 
     # Base scores: by the counts, which the first meeting has.
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, _, seqs, sizes = _sequences(left)
+        left, _, _, seqs, sizes = _sequences(left)
         c = np.concatenate([np.frombuffer(x, np.int64) for x in right.sort_by("bucket").column("counts").to_pylist()] or [np.zeros(0, np.int64)])
         logs, of = np.log10((c + add) / per), np.repeat(np.arange(len(sizes)), sizes)
         flat = np.concatenate(seqs)
-        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+        ends = pa.array(np.cumsum([0, *pa.compute.list_value_length(left.column("sizes")).to_pylist()]), pa.int32())
         known = np.bincount(of, c[flat] > 0, len(sizes)).astype(np.int64) + (n_train > 0)
         sums = np.bincount(of, logs[flat], len(sizes)) + np.log10((n_train + add) / per)
-        return pa.table([left.column("block"), whole(known), whole(sums.astype(float))], names=["block", "known", "base"])
+        return pa.table([left.column("block"), left.column("bucket"), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (known, sums.astype(float)))], names=["block", "bucket", "known", "base"])
 
     by = lambda rows, right: rows.groupBy("block").cogroup(right.groupBy("block"))
-    scores = materialise(by(texts, union(now).select("block", "bucket", "counts")).applyInArrow(base, "block long, known array<long>, base array<double>"), "base")
+    scores = materialise(by(texts, union(now).select("block", "bucket", "counts")).applyInArrow(spared(base), "block long, bucket int, known array<long>, base array<double>"), "base")
 
     for _ in range(model.rounds):
 
         def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-            _, held, seqs, _ = _sequences(left)
+            left, _, held, seqs, _ = _sequences(left)
             right, own = _block_model(right, hmm, norm)
             end, totals = own.emit.shape[1] - 1, [np.zeros(k), np.zeros((k, k)), np.zeros((k, own.emit.shape[1]))]
             pieces = []
@@ -184,12 +204,12 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
             ends = np.cumsum([len(x) // 4 for x in places])
             cells = [x.astype(np.float32).tobytes() for x in np.split(totals[2][:, :end].T, ends[:-1])] if places else []
             few = np.concatenate((totals[0], totals[1].ravel(), totals[2].sum(1), totals[2][:, end])).tobytes()
-            m, block = len(places), left.column("block").to_pylist()
+            m, block = len(places), left.column("block").slice(0, 1).to_pylist()
             return pa.table([pa.array(block * (m + 1), pa.int64()), pa.array([*right.column("bucket").to_pylist(), -1], pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*cells, few], pa.binary())], names=["block", "bucket", "place", "numbers"])
 
         part = lambda rows, p: rows.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == p)
         emissions = union(now).select("block", "bucket", "place", "numbers")
-        tables = [materialise(by(part(texts, p), part(emissions, p)).applyInArrow(sums, "block long, bucket int, place binary, numbers binary"), "expected") for p in range(PARTS)]
+        tables = [materialise(by(part(texts, p), part(emissions, p)).applyInArrow(spared(sums), "block long, bucket int, place binary, numbers binary"), "expected") for p in range(PARTS)]
         counted = union(tables)
         discard(*now)
 
@@ -207,13 +227,14 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         hmm = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), ((ended + extra * (n_train + add) / per) / norm)[:, None])
 
     def likelihood(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_ids, held, seqs, sizes = _sequences(left)
+        left, doc_ids, held, seqs, sizes = _sequences(left)
         _, own = _block_model(right, hmm, norm)
         seqs = [np.append(x, np.int32(own.emit.shape[1] - 1)) for x in seqs]
         out = np.zeros(len(seqs))
         for group in _grouped(seqs):
             out[group] = forward(own, [seqs[i] for i in group])
-        return pa.table([doc_ids, pa.array(held), pa.array(sizes + 1), left.column("known").combine_chunks().flatten(), left.column("base").combine_chunks().flatten(), pa.array(out)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        known, base = (pa.concat_arrays([x.flatten() for x in left.column(c).chunks]) for c in ("known", "base"))
+        return pa.table([doc_ids, pa.array(held), pa.array(sizes + 1), known, base, pa.array(out)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = by(texts.join(scores, "block"), union(now).select("block", "bucket", "numbers")).applyInArrow(likelihood, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = by(texts.join(scores, ["block", "bucket"]), union(now).select("block", "bucket", "numbers")).applyInArrow(spared(likelihood), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
