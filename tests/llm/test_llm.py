@@ -353,6 +353,21 @@ def test_rows_of_word_places_are_small(spark):
     assert all(len(r["seq"]) == 4 * sum(r["sizes"]) for r in rows)
 
 
+def test_large_rows_are_written_and_read_a_few_at_a_time(spark):
+    """Tables with rows of 100 kB and more have small row groups; a block's cells of emissions stay under half a megabyte."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    wide = common.materialise(spark.range(0, 120, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("text")), "wide", large=True)
+    (file,) = glob.glob(f"{wide._tessera_path.removeprefix('file:')}/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 32 and wide.count() == 120
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(3000)), False) for i in range(30)], "doc_id long, text string, held_out boolean").coalesce(1)
+    cells = word_model.blocks(docs, word_model.BITS).where("bucket >= 0").collect()
+    assert sum(len(r["hashes"]) for r in cells) == 8 * 90_000 and max(len(r["hashes"]) for r in cells) * 4 < 1 << 19
+
+
 def test_states_emit_words(docs, corpus, monkeypatch):
     """The query's model against Baum-Welch and the forward recursion over words by plain loops; words that end alike have emissions of their own."""
     for block in (1 << 30, 3000):  # one block a partition, or several, so that words meet
